@@ -9,8 +9,9 @@ Parquet table (Spark's writer commits it, so a lost executor costs a retry only)
 null), uint32 ids per document, uint16 rule pairs, uint32 expansion lengths, uint16 symbols.
 Symbols below 50,257 are ids, the others are rules; a rule only uses symbols before it.
 
-Re-Pair: the most frequent pairs of neighbours that occur at least 4 times get nonterminals, round
-after round, until the rules or the 16-bit symbols run out. The expansion lengths let ``read_range``
+Re-Pair: pairs of neighbours that are at least a 32nd as frequent as the most frequent one (in the last
+round: that occur at least 4 times) get nonterminals, round after round, until the rounds or the 16-bit
+symbols run out. The expansion lengths let ``read_range``
 find an id range in a block without expanding the rest.
 
 Null text counts as empty: its row has the end id only. Rows with one doc_id are ordered by text.
@@ -23,6 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,11 @@ DOC_SCHEMA = "part int, block int, doc_id long, at long, n_tokens long, ids_crc3
 END = 0
 BLOCK_IDS = 1 << 20
 VOCAB = 50_257
-ROUNDS = 8
+ROUNDS = 5
 MIN_COUNT = 4
-CACHE_PIECES = 400_000
+#: Pieces a worker's cache holds; beyond, those that came back least go.
+CACHE_PIECES = 1_000_000
+BATCH_BYTES = 4 << 20
 
 
 def vocabulary() -> str:
@@ -68,55 +72,79 @@ class Encoder:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.used = np.zeros(1 << 20, np.uint16), 0
+        self.at, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.seen = np.zeros(1 << 16, np.int32)
+
+    def evict(self) -> None:
+        """Keep the pieces that were in several batches."""
+        least = 2
+        while (keep := self.seen[: len(self.number)] >= least).sum() > CACHE_PIECES // 2:
+            least *= 2
+        names = [p for p, k in zip(self.number, keep.tolist(), strict=True) if k]
+        old = np.flatnonzero(keep)
+        size = self.size[old]
+        n = np.maximum(size, 0).astype(np.int64)
+        ends = np.cumsum(n)
+        flat = self.flat[np.repeat(self.at[old] - (ends - n), n) + np.arange(n.sum())]
+        self.number = {p: i for i, p in enumerate(names)}
+        self.flat, self.used = flat, len(flat)
+        self.at, self.size, self.seen = (ends - n).astype(np.int32), size, np.ones(len(old), np.int32)
 
     def whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def _add(self, pieces: list[str]) -> None:
         """Encode new pieces: a leading line break is kept, others get their leading space."""
-        ok = [bool(p) and bool(q := p.removeprefix("\n") if p[0] == "\n" else p) and not q[0].isspace() and not q[-1].isspace() for p in pieces]
-        good = [p if p[0] == "\n" else " " + p for p, k in zip(pieces, ok, strict=True) if k]
-        ids = iter(self.tok.encode_batch(good, add_special_tokens=False) if good else ())
-        for p, k in zip(pieces, ok, strict=True):
-            n = len(self.number)
-            if n >= len(self.at):
-                self.at, self.size = np.concatenate([self.at, self.at * 0]), np.concatenate([self.size, self.size * 0])
-            self.number[p] = n
-            if not k:
-                self.size[n] = -1
-                continue
-            v = next(ids).ids
-            while self.used + len(v) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(v)] = v
-            self.at[n], self.size[n] = self.used, len(v)
-            self.used += len(v)
+        bare = [p[1:] if p[:1] == "\n" else p for p in pieces]
+        bad = [not q or q[0].isspace() or q[-1].isspace() for q in bare]
+        good = [p if p[:1] == "\n" else " " + p for p, k in zip(pieces, bad, strict=True) if not k] if any(bad) else [p if p[0] == "\n" else " " + p for p in pieces]
+        bad = np.array(bad)
+        if good:
+            made = self.tok.encode(good, is_pretokenized=True, add_special_tokens=False)
+            ids, of = np.array(made.ids, np.uint16), np.array(made.word_ids, np.int64)
+        else:
+            ids, of = np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        n, m = len(self.number), len(self.number) + len(pieces)
+        while m > len(self.at):
+            self.at, self.size, self.seen = (np.concatenate([x, np.zeros(max(1 << 16, len(x)), x.dtype)]) for x in (self.at, self.size, self.seen))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(1 << 20, len(self.flat)), np.uint16)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        size = np.zeros(len(pieces), np.int64)
+        size[~bad] = np.bincount(of, minlength=len(good))
+        self.at[n:m] = self.used + np.cumsum(size) - size
+        self.size[n:m] = np.where(bad, -1, size)
+        self.seen[n:m] = 0
+        self.used += len(ids)
+        self.number.update(zip(pieces, range(n, m), strict=True))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has. Nulls are empty."""
         texts = pc.fill_null(texts, "")
         if not self.safe:
             got = [self.whole(t) for t in texts.to_pylist()]
-            return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
+            return np.array([i for g in got for i in g], np.uint16), np.array([len(g) for g in got], np.int64)
         if len(self.number) > CACHE_PIECES:
-            self.reset()
+            self.evict()
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         bounds = np.asarray(split.offsets).astype(np.int64) - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if new := [p for p in names if p not in self.number]:
-            self._add(new)
-        known = np.fromiter((self.number[p] for p in names), np.int64, len(names))
-        ids = known[np.asarray(coded.indices)]
-        size, at = self.size[ids], self.at[ids]
+        names = coded.dictionary.to_numpy(zero_copy_only=False)
+        have = self.number
+        known = np.fromiter(map(have.get, names, repeat(-1)), np.int32, len(names))
+        if len(new := np.flatnonzero(known < 0)):
+            known[new] = np.arange(len(have), len(have) + len(new))
+            self._add(names[new].tolist())
+        self.seen[known] += 1
+        codes = np.asarray(coded.indices)
+        size, at = self.size[known][codes], self.at[known][codes]
         flat = self.flat
         # The first piece of a text has no space before it.
         heads = bounds[:-1]
         firsts = pc.list_element(split, 0).to_pylist() if len(heads) else []
         bad = np.zeros(len(heads), bool)
-        np.logical_or.at(bad, np.repeat(np.arange(len(heads)), np.diff(bounds)), size < 0)
+        bad[np.searchsorted(bounds, np.flatnonzero(size < 0), side="right") - 1] = True
         extra, extra_at = [], len(flat)
         for r, p in enumerate(firsts):
             v = self.whole(p) if not bad[r] else []
@@ -129,10 +157,12 @@ class Encoder:
             at[heads[r]], size[heads[r]] = extra_at, len(v)
             extra_at += len(v)
             extra += v
-        source = np.concatenate([flat, np.array(extra, np.uint32)]) if extra else flat
-        totals = np.concatenate([[0], np.cumsum(size)])
-        where = np.repeat(at - totals[:-1], size) + np.arange(totals[-1])
-        return source[where], np.diff(totals[bounds])
+        source = np.concatenate([flat, np.array(extra, np.uint16)]) if extra else flat
+        totals = np.zeros(len(size) + 1, np.int32)
+        np.cumsum(size, out=totals[1:])
+        where = np.repeat(at - totals[:-1], size)
+        where += np.arange(totals[-1], dtype=np.int32)
+        return source[where], np.diff(totals[bounds]).astype(np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -146,11 +176,11 @@ def encoder(path: str) -> Encoder:
 
 def repair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair in rounds: rule pairs, their expansion lengths and the compressed symbols."""
-    seq = ids.astype(np.uint16)
+    seq = ids.astype(np.uint16, copy=False)
     rules: list[np.ndarray] = []
     lengths = np.ones(1 << 16, np.int64)
     following = VOCAB
-    for _ in range(ROUNDS):
+    for step in range(ROUNDS):
         room = (1 << 16) - following
         if len(seq) < 2 or room < 1:
             break
@@ -158,22 +188,23 @@ def repair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.sort(keys)
         edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1], [True]]))
         counts, values = np.diff(edge), order[edge[:-1]]
-        # A round takes the pairs within a factor of eight of the most frequent one, that later
-        # rounds see the pairs which these replacements make.
-        often = counts >= max(MIN_COUNT, int(counts.max()) // 8 if _ < ROUNDS - 2 else MIN_COUNT)
+        floor = MIN_COUNT if step == ROUNDS - 1 else max(MIN_COUNT, int(counts.max()) >> 5)
+        often = counts >= floor
         if not often.any():
+            if floor > MIN_COUNT:
+                continue
             break
         counts, values = counts[often], values[often]
-        take = min(room, 4096)
-        if len(values) > take:
-            best = np.lexsort((values, -counts))[:take]
-            values = values[np.sort(best)]
-        maybe = np.zeros(1 << 16, bool)
-        small = lambda k: ((k * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
-        maybe[small(values)] = True
-        at = np.flatnonzero(maybe[small(keys)])
-        found = np.searchsorted(values, keys[at])
-        found[found == len(values)] = 0
+        # The pairs' places are looked up in a table of 18-bit hashes: of two pairs with one hash, the
+        # more frequent one is taken now.
+        best = np.lexsort((values, -counts))[: min(room, 4096)]
+        place = lambda k: (k * np.uint32(2654435761)) >> np.uint32(14)
+        slot = np.full(1 << 18, -1, np.int16)
+        slot[place(values[best][::-1])] = np.arange(len(best), dtype=np.int16)[::-1]
+        values = values[best]
+        found = slot[place(keys)]
+        at = np.flatnonzero(found >= 0)
+        found = found[at]
         hit = values[found] == keys[at]
         at, found = at[hit], found[hit]
         # Overlapping occurrences: every second one of a run of neighbours is replaced.
@@ -184,7 +215,7 @@ def repair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pairs = np.stack([values >> np.uint32(16), values & np.uint32(0xFFFF)], 1).astype(np.uint16)
         lengths[following : following + len(values)] = lengths[pairs[:, 0]] + lengths[pairs[:, 1]]
         seq = seq.copy()
-        seq[at] = (following + found).astype(np.uint16)
+        seq[at] = (found.astype(np.int32) + following).astype(np.uint16)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
@@ -194,19 +225,33 @@ def repair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pairs, lengths[VOCAB:following].astype(np.uint32), seq
 
 
-def expand(pairs: np.ndarray, seq: np.ndarray) -> np.ndarray:
-    """The ids that ``seq`` stands for."""
-    seq = seq.astype(np.int64)
-    wide = pairs.astype(np.int64)
+def _unfold(pairs: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each of the symbols, and how many each has: one level of rules after the other."""
+    owner = np.arange(len(seq))
     while len(rule := np.flatnonzero(seq >= VOCAB)):
         n = np.ones(len(seq), np.int64)
         n[rule] = 2
-        out = np.repeat(seq, n)
+        out, owner = np.repeat(seq, n), np.repeat(owner, n)
         at = (np.cumsum(n) - n)[rule]
         which = seq[rule] - VOCAB
-        out[at], out[at + 1] = wide[which, 0], wide[which, 1]
+        out[at], out[at + 1] = pairs[which, 0], pairs[which, 1]
         seq = out
-    return seq.astype(np.uint32)
+    return seq, owner
+
+
+def expand(pairs: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """The ids that ``seq`` stands for: the rules are unfolded once, then copied."""
+    wide = pairs.astype(np.int32)
+    flat, owner = _unfold(wide, np.arange(VOCAB, VOCAB + len(pairs), dtype=np.int32))
+    length = np.ones(1 << 16, np.int32)
+    length[VOCAB : VOCAB + len(pairs)] = np.bincount(owner, minlength=len(pairs))
+    # Ids stand in front of the unfolded rules, so one table serves all symbols.
+    source = np.concatenate([np.arange(VOCAB, dtype=np.uint32), flat.astype(np.uint32)])
+    start = np.arange(1 << 16, dtype=np.int32)
+    start[VOCAB : VOCAB + len(pairs)] = VOCAB + np.cumsum(length[VOCAB : VOCAB + len(pairs)]) - length[VOCAB : VOCAB + len(pairs)]
+    n = length[seq]
+    ends = np.cumsum(n, dtype=np.int32)
+    return source[np.repeat(start[seq] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
 
 
 def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -272,12 +317,12 @@ def write(docs: DataFrame, path: str, vocab: str | None = None) -> None:
             return pa.RecordBatch.from_pydict(row, schema=arrow)
 
         for whole in batches:
-            for b in slices(whole, "text", 1 << 20):
+            for b in slices(whole, "text", BATCH_BYTES):
                 ids, n = enc.batch(b.column("text"))
                 ends = np.cumsum(n)
                 doc_ids += b.column("doc_id").to_pylist()
                 sizes.append(n + 1)
-                held.append(np.insert(ids, ends, END).astype(np.uint32))
+                held.append(np.insert(ids, ends, END))
                 total += len(ids) + len(n)
                 if total >= BLOCK_IDS:
                     yield flush()
