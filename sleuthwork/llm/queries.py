@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, mixing, near_dedup, sharding, token_output
+from . import decontaminate, fingerprints, language_id, mixing, near_dedup, sharding, token_output
 from ._common import reachable
 
 
@@ -31,6 +31,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(_table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_near_dedup, op3_token_output, op4_decontamination, op8_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_near_dedup, op3_token_output, op4_decontamination, op6_language_id, op8_sharding, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
