@@ -225,3 +225,8 @@ def languages(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = identify(rows, data)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_sw_lang").alias("lang_pred"), F.col("_sw_score").alias("score"))
+
+
+def with_language(docs: DataFrame) -> DataFrame:
+    """The documents whose language can be told, with their own columns."""
+    return identify(docs).where(F.col("_sw_lang") != UNDETERMINED).select(*docs.columns)

@@ -111,63 +111,60 @@ def plan(sizes: list[tuple[str | None, int]]) -> list[dict]:
 PLAN = T.StructType([T.StructField("source", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("source_size", "blocks", "full", "rest", "a", "c")], T.StructField("target", T.DoubleType())])
 
 
-def mix(rows: DataFrame) -> DataFrame:
-    """Adds source_size, target, taken and the selected word ranges to rows with source, doc_id, size.
+def sized(docs: DataFrame, *keep: str) -> DataFrame:
+    """source, doc_id, size and a hash of the text that orders rows with one doc_id; ``keep`` as well."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("source").cast("string").alias("_source"), F.col("doc_id").alias("_id"), n_words(text).alias("_size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_tie"), *keep)
 
-    ``ranges``: words [from, to) of the document that are taken once more than ``full`` times.
+
+def mix(rows: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Adds source_size, target, full, taken and ranges to the rows of ``sized``.
+
+    ``ranges``: words [from, to) of the document that are taken once more than ``full`` times. ``totals``
+    are the same rows without what was kept, if reading them is cheaper.
     """
     spark = rows.sparkSession
-    sizes = [(r["source"], r["s"] or 0) for r in rows.groupBy("source").agg(F.sum("size").alias("s")).collect()]
-    made = plan(sizes)
+    totals = rows if totals is None else totals
+    made = plan([(r["_source"], r["s"] or 0) for r in totals.groupBy("_source").agg(F.sum("_size").alias("s")).collect()])
     table = spark.createDataFrame([tuple(p[f.name] for f in PLAN.fields) for p in made], PLAN)
+    key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))  # noqa: E731  null-safe, and the same key for window and joins
+    table = table.withColumn("_key", key(F.col("source"))).drop("source")
     # Positions of the documents' words in their source: sums over fine buckets of a hash, then
     # within a bucket; neither window holds more than a bucket's rows or a source's buckets.
     n = max(64, 8 * shuffle_width(spark))
-    keyed = rows.withColumn("_h", F.xxhash64(F.lit(SEED), F.col("doc_id"))).withColumn("_b", F.pmod(F.col("_h"), F.lit(n)).cast("int"))
-    per = keyed.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
-    before = per.select("source", "_b", (F.sum("_n").over(Window.partitionBy("source").orderBy("_b")) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("source", "_b").orderBy("_h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.withColumn("_in", F.sum("size").over(inside) - F.col("size"))
-    same = lambda x, y, *cols: [x[c].eqNullSafe(y[c]) for c in cols]
-    placed = placed.join(before, same(placed, before, "source", "_b")).drop(before["source"], before["_b"])
-    out = placed.join(F.broadcast(table) if len(made) <= 100_000 else table, placed["source"].eqNullSafe(table["source"])).drop(table["source"])
-    start = F.col("_before") + F.col("_in")
-    out = out.withColumn("_s", start).withColumn("_e", start + F.col("size"))
-    numbers = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_s") / BLOCK), F.floor((F.col("_e") - 1) / BLOCK))).otherwise(F.array().cast("array<bigint>"))
+    keyed = lambda df: df.withColumn("_key", key(F.col("_source"))).withColumn("_h", F.xxhash64(F.lit(SEED), "_id")).withColumn("_b", F.pmod("_h", F.lit(n)).cast("int"))
+    per = keyed(totals).groupBy("_key", "_b").agg(F.sum("_size").alias("_n"))
+    before = per.select("_key", "_b", (F.sum("_n").over(Window.partitionBy("_key").orderBy("_b")) - F.col("_n")).alias("_before"))
+    inside = Window.partitionBy("_key", "_b").orderBy("_h", F.col("_id").asc_nulls_first(), "_size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    out = keyed(rows).withColumn("_in", F.sum("_size").over(inside) - F.col("_size")).join(before, ["_key", "_b"])
+    # One row a source: small next to any broadcast bound, else the join is left to the optimizer.
+    out = out.join(F.broadcast(table) if len(made) <= 100_000 else table, "_key")
+    out = out.withColumn("_s", F.col("_before") + F.col("_in")).withColumn("_e", F.col("_s") + F.col("_size"))
+    none = F.array().cast("array<bigint>")
+    numbers = F.when(F.col("_size") > 0, F.sequence(F.floor(F.col("_s") / BLOCK), F.floor((F.col("_e") - 1) / BLOCK))).otherwise(none)
     # (a * j + c) mod blocks in decimals: the product may not fit 64 bits.
     chosen = lambda j: F.pmod(F.col("a").cast("decimal(19,0)") * j.cast("decimal(18,0)") + F.col("c"), F.col("blocks").cast("decimal(19,0)")) < F.col("rest")
-    picked = F.when(F.col("rest") > 0, F.filter(numbers, chosen)).otherwise(F.array().cast("array<bigint>"))
+    picked = F.when(F.col("rest") > 0, F.filter(numbers, chosen)).otherwise(none)
     ranges = F.transform(picked, lambda j: F.struct((F.greatest(j * BLOCK, F.col("_s")) - F.col("_s")).alias("from"), (F.least((j + 1) * BLOCK, F.col("_e")) - F.col("_s")).alias("to")))
     out = out.withColumn("ranges", ranges)
     extra = F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, r: acc + r["to"] - r["from"])
-    return out.withColumn("taken", F.col("full") * F.col("size") + extra).drop("_h", "_b", "_in", "_before", "_s", "_e", "blocks", "rest", "a", "c")
+    return out.withColumn("taken", F.col("full") * F.col("_size") + extra).drop("_key", "_h", "_b", "_in", "_before", "_s", "_e", "blocks", "rest", "a", "c")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The contract's rows."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
-    out = mix(materialize(rows, "mix-sizes"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    out = mix(materialize(sized(docs), "mix-sizes"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document once a full repeat, and once more
     with the words of its selected ranges, if any (its n_chars is counted anew)."""
-    columns = docs.columns
-    body = docs.withColumn("size", n_words(F.col("text").cast("string"))).drop("source_size", "target", "ranges", "taken", "full")
-    body = materialize(body, "mix-documents")
-    slim = body.select("doc_id", F.col("source").cast("string").alias("source"), "size", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).withColumn("doc_id", F.struct("doc_id", "h"))
-    plan_ = mix(slim).where("taken > 0").select(F.col("doc_id.doc_id").alias("_d"), F.col("doc_id.h").alias("_x"), F.col("source").alias("_s"), "full", "ranges")
-    # Repeated rows are told apart by nothing: number them on both sides.
-    count = lambda df, *keys: df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
-    left = count(body.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))), "doc_id", "_h", "source")
-    right = count(plan_, "_d", "_x", "_s").withColumnRenamed("_k", "_kk")
-    both = left.join(right, left["doc_id"].eqNullSafe(right["_d"]) & (left["_h"] == right["_x"]) & left["source"].cast("string").eqNullSafe(right["_s"]) & (left["_k"] == right["_kk"]))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    row = docs.select(F.struct(*docs.columns).alias("_row"), *docs.columns)
+    out = mix(sized(row, "_row"), materialize(sized(docs), "mix-sizes")).where("taken > 0").select("_row", "full", "ranges")
+    words = F.regexp_extract_all(F.col("_row.text").cast("string"), F.lit(WORD), F.lit(0))
     part = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("full").cast("int")), F.when(F.size("ranges") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = both.withColumn("_texts", texts).withColumn("_new", F.explode("_texts"))
-    out = out.withColumn("text", F.col("_new"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("_new").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    texts = F.concat(F.array_repeat(F.col("_row.text").cast("string"), F.col("full").cast("int")), F.when(F.size("ranges") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    out = out.select("_row", F.explode(texts).alias("_text"))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    return out.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("_row")[f.name].alias(f.name) for f in docs.schema.fields])
