@@ -14,17 +14,22 @@ Steps.
 1. Equal sets form one class (keyed by a 128-bit digest); only its smallest doc_id goes on. So exact
    copies cost one row each and never meet in a table.
 2. Half keys that one class alone has can't bring a meeting. They are dropped first (16 rows a class,
-   counted with map-side combining) and pair keys are formed of the others only.
-3. A table's members with one key are a bucket. Buckets are never expanded to all pairs: in a round each
-   bucket proposes its members against one of them (the least by a hash of the round). Proposals are
-   verified on full sets, links joined to components, and buckets whose members are all in one component
-   are done. Rounds go on while the pairs across components in the open buckets are many more than their
-   members; then exactly those pairs are verified (``last``). So no link that would join two components
-   is left out, and none that only repeats a known connection is paid for.
-4. Components by alternating large-star and small-star steps.
-
-Nulls: null text is the empty set; a row with null doc_id takes part, and ranks after all others as
-representative. Repeated rows and rows that share a doc_id have the same rows as any copy would.
+   counted with map-side combining); classes with fewer than two others are done.
+3. Shingles that no other class left has are counted per class (its *own* shingles). A link leaves at
+   most a quarter of a set outside of the other, so classes with more own shingles are done as well; and
+   the sizes and own shingles of two classes bound their similarity (``_possible``).
+4. A table's members with one key are a bucket. Buckets are never expanded to all pairs: in a round each
+   bucket proposes its members against one of them (the smallest, later the least by a hash of the
+   round). Proposals are verified on full sets, links joined to components, and buckets whose members
+   are all in one component are done. Rounds go on while they join many. What is left (classes in buckets
+   of several components) is compared across components by an exact prefix filter: shingles ordered by
+   rarity, pairs that share one among the first n - a + 1 of both (a: the overlap that the sizes ask
+   for) are verified. So no link that would join two components is left out, and none that repeats a
+   known connection is paid for.
+5. Components by alternating large-star and small-star steps over the links between components so far.
+
+Nulls: null text is the empty set; rows with null doc_id join their equal sets (component_id is null if
+all of a set's rows have none, and such sets get no other links). Repeated rows and rows that share a doc_id have the same rows as any copy would.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ._common import SPACE, Words, arrow_type, distinct_sorted, materialize, mix, slices
@@ -43,9 +48,7 @@ SHINGLE = 5
 SIMILARITY = 75
 HALVES = 16
 ROWS = 2
-MAX_ROUNDS = 12
-#: Cross pairs per bucket row at which rounds end.
-FEW = 2.0
+MAX_ROUNDS = 8
 FILTER_BITS = 1 << 26
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -72,7 +75,7 @@ def half_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return out.view(np.int64)
     starts = bounds[:-1][full]
     for j in range(HALVES):
-        key = np.full(len(full), np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+        key = np.full(len(full), (j + 1) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
         for r in range(ROWS):
             i = j * ROWS + r
             h = (values ^ _ADD[i]) * _MUL[i]
@@ -104,27 +107,26 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node, label``: the least node reachable, for each node that has a link.
+def components(links: DataFrame) -> DataFrame:
+    """``node, label`` for links (a, b): the least node reachable, for each node that isn't it.
 
-    Large-star and small-star steps in turn until nothing changes; each is aggregations and joins with
-    one row per node on one side, so a node with very many links is no group of its own.
+    Large-star and small-star steps in turn until a turn finds nothing to change (it says so by the way);
+    each is aggregations and joins with one row per node on one side, so a node with very many links is
+    no group of its own.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = materialize(edges, "edges")
-    state = None
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
+        seen = Observation(), Observation()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v"))).distinct()
-        small = materialize(small, "edges")
-        now = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (now["n"], now["s"]) == state:
-            return small.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        edges, state = small, (now["n"], now["s"])
+        large = both.join(least, "u").where("v > u").observe(seen[0], F.coalesce(F.sum((F.col("u") != F.col("m")).cast("long")), F.lit(0)).alias("n"))
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).observe(seen[1], F.coalesce(F.sum((F.col("c") > 1).cast("long")), F.lit(0)).alias("n"))
+        small = large.join(down.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        turned = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        if not any(o.get["n"] for o in seen):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        edges = turned
 
 
 def _bloom_places(ids: np.ndarray) -> np.ndarray:
@@ -161,11 +163,10 @@ def _maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _bodies(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The text of each member class, once: ``digest, body``."""
+    """The text of each member class, once: ``node, body``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    some = _maybe_in(rows, members.select("doc_id"))
-    found = some.join(members.where(F.col("doc_id").isNotNull()), "doc_id")
-    arrow = arrow_type("digest binary, body string")
+    found = _maybe_in(rows, members.select("doc_id")).join(members, "doc_id")
+    arrow = arrow_type("node long, body string")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows that share a doc_id may have other texts.
@@ -174,16 +175,30 @@ def _bodies(docs: DataFrame, members: DataFrame) -> DataFrame:
                 values, bounds = sets(b.column("text"))
                 own = [_digest(values[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 same = [x == y for x, y in zip(own, b.column("digest").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("text")], names=["digest", "body"]).filter(pa.array(same)).cast(arrow)
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("text")], names=["node", "body"]).filter(pa.array(same)).cast(arrow)
 
-    return found.select("digest", "text").mapInArrow(check, "digest binary, body string").dropDuplicates(["digest"])
+    return found.select("node", "digest", "text").mapInArrow(check, "node long, body string").dropDuplicates(["node"])
+
+
+def own_shingles(bodies: DataFrame) -> DataFrame:
+    """``node, own``: how many shingles of each body no other body has (if any)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "body", 256 << 10):
+                values, bounds = sets(b.column("body"))
+                node = np.repeat(b.column("node").to_numpy(), np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(node)], names=["h", "node"])
+
+    rows = bodies.mapInArrow(run, "h long, node long")
+    single = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    return single.groupBy("node").agg(F.count("*").alias("own"))
 
 
 def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (a, b) with ``linked``, decided on the full sets of both texts."""
-    left = bodies.select(F.col("digest").alias("a"), F.col("body").alias("x"))
-    right = bodies.select(F.col("digest").alias("b"), F.col("body").alias("y"))
-    arrow = arrow_type("a binary, b binary, linked boolean")
+    left = bodies.select(F.col("node").alias("a"), F.col("body").alias("x"))
+    right = bodies.select(F.col("node").alias("b"), F.col("body").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -196,91 +211,134 @@ def verify(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
                     both.sort()
                     common = int((both[1:] == both[:-1]).sum())
                     linked.append(common > 0 and 100 * common >= SIMILARITY * (len(s) + len(t) - common))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"]).cast(arrow)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     # The pairs go to their first text, then with it to the second: texts of members only move.
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+
+
+def prefix_pairs(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with other labels (node, n, label) that may be linked, by a prefix filter.
 
+    A linked pair has at least ``need`` shingles in common, so the first common one in a fixed order is
+    among the first n - need + 1 of both. Rare shingles come first; those of one node alone match nothing
+    and only count in the ranks.
+    """
 
-def _similar_size(n: Column, m: Column) -> Column:
-    """Sets whose sizes differ by more can't be linked."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * SIMILARITY
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "body", 256 << 10):
+                values, bounds = sets(b.column("body"))
+                k = np.repeat(np.arange(b.num_rows), np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *[pa.array(b.column(c).to_numpy()[k]) for c in ("node", "n", "label")]], names=["h", "node", "n", "label"])
+
+    rows = bodies.join(nodes, "node").select("body", "node", "n", "label").mapInArrow(run, "h long, node long, n long, label long")
+    often = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    shared = rows.join(often, "h")
+    w = Window.partitionBy("node")
+    ranked = shared.withColumn("rank", F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("c", "h")))
+    first = materialize(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1).drop("c"), "prefixes")
+    x, y = first.alias("x"), first.alias("y")
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * SIMILARITY / (100 + SIMILARITY))
+    near = (F.col("x.rank") <= F.col("x.n") - need + 1) & (F.col("y.rank") <= F.col("y.n") - need + 1)
+    both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & near)
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _possible(n: Column, own: Column, m: Column, other: Column) -> Column:
+    """False for sizes and numbers of own shingles with which two sets can't be linked."""
+    common = F.least(n - own, m - other)
+    return common * 100 >= (n + m - common) * SIMILARITY
 
 
 def classes(sketch: DataFrame) -> DataFrame:
-    """Distinct non-empty sets: digest, size, half keys, smallest doc_id."""
+    """Distinct non-empty sets, numbered: node, digest, size, half keys, smallest doc_id."""
     full = sketch.where("n > 0")
-    return full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    found = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    return found.withColumn("node", F.monotonically_increasing_id())
 
 
 def meetings(found: DataFrame) -> DataFrame:
-    """``table, digest, doc_id, n``: the table keys that a class may share with another."""
-    rows = found.select("digest", F.explode("halves").alias("key"))
+    """``node, n, keys``: classes with at least two half keys that other classes have, and those keys."""
+    rows = found.select("node", "n", F.explode("halves").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    alive = rows.join(shared, "key").groupBy("digest").agg(F.collect_list("key").alias("keys")).where(F.size("keys") > 1)
-    keyed = alive.select("digest", F.array_sort("keys").alias("keys")).join(found.select("digest", "doc_id", "n"), "digest")
-    pairs = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, HALVES), lambda m: F.xxhash64(k, m))))
-    return keyed.select("digest", "doc_id", "n", pairs.alias("tables"))
-
-
-def _links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links between classes and their components."""
-    met = materialize(meetings(found), "meetings")
-    rows = met.select(F.explode("tables").alias("table"), "digest", "n")
-    # Buckets of one are most; what is left is written once for all rounds.
-    often = rows.groupBy("table").agg(F.count("*").alias("c")).where("c > 1").select("table")
-    buckets = materialize(rows.join(often, "table"), "buckets")
-    members = materialize(met.join(buckets.select("digest").distinct(), "digest", "left_semi").select("digest", "doc_id"), "members")
-    if members.isEmpty():
-        return None, None
-    bodies = materialize(_bodies(docs, members), "bodies")
-    links = tested = labels = None
-    open_ = buckets.withColumn("label", F.col("digest"))
-    for step in range(MAX_ROUNDS + 1):
-        if step:
-            # Buckets that have members of two components, and how many pairs across they hold.
-            marked = buckets.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-            per = marked.groupBy("table", "label").agg(F.count("*").alias("c"))
-            wide = per.groupBy("table").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("parts")).where("parts > 1")
-            wide = materialize(wide.select("table", "rows", ((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("across")), "open")
-            left = wide.agg(F.sum("rows").alias("r"), F.sum("across").alias("x")).first()
-            if not left["r"]:
-                break
-            open_ = materialize(marked.join(wide.select("table"), "table"), "open-rows")
-        last = bool(step) and (left["x"] <= FEW * left["r"] or step == MAX_ROUNDS)
-        order = F.struct(F.xxhash64("digest", F.lit(step)).alias("h"), F.col("digest").alias("digest"), F.col("n").alias("n"), F.col("label").alias("label"))
+    return rows.join(shared, "key").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1)
+
+
+def _tables(keys: str) -> Column:
+    """The table keys: a hash of each pair of half keys."""
+    return F.flatten(F.transform(keys, lambda k, i: F.transform(F.slice(keys, i + 2, HALVES), lambda m: F.xxhash64(k, m))))
+
+
+def labels(docs: DataFrame, found: DataFrame) -> DataFrame | None:
+    """``node, label`` of the classes that are linked with a smaller one; None if none is."""
+    alive = materialize(meetings(found).join(found.select("node", "digest", "doc_id").where("doc_id IS NOT NULL"), "node"), "alive")
+    bodies = materialize(_bodies(docs, alive.select("node", "digest", "doc_id")), "bodies")
+    kept = alive.select("node", "n", "keys").join(own_shingles(bodies), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    kept = kept.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * SIMILARITY)
+    base = materialize(kept.select("node", "n", "own", F.explode(_tables("keys")).alias("table")), "buckets")
+    tested = known = None
+    first_joined, last = 0, False
+    x, y = (F.struct(*[F.col(f"{side}.{c}") for c in ("node", "n", "own", "label")]) for side in "xy")
+    possible = _possible(x["n"], x["own"], y["n"], y["own"]) & (x["label"] != y["label"])
+    for step in range(MAX_ROUNDS):
+        if known is None:
+            rows = base.withColumn("label", F.col("node"))
+        else:
+            rows = base.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        order = F.xxhash64("node", F.lit(step)) if step else F.col("node")
+        center = rows.groupBy("table").agg(F.min(F.struct(order.alias("h"), F.struct("node", "n", "own", "label").alias("y"))).alias("z"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        center = center.where("lo <> hi").select("table", "z.y.*")
         if last:
-            mine, other = open_.alias("x"), open_.alias("y")
-            across = mine.join(other, (F.col("x.table") == F.col("y.table")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label")) & _similar_size(F.col("x.n"), F.col("y.n")))
-            pairs = across.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
+            pairs = prefix_pairs(materialize(rows.join(center.select("table"), "table").select("node", "n", "label").distinct(), "left"), bodies)
         else:
-            center = open_.groupBy("table").agg(F.min(order).alias("z"))
-            star = open_.join(center, "table").where((F.col("digest") != F.col("z.digest")) & (F.col("label") != F.col("z.label")) & _similar_size(F.col("n"), F.col("z.n")))
-            pairs = star.select(F.least("digest", "z.digest").alias("a"), F.greatest("digest", "z.digest").alias("b"))
-        pairs = pairs.distinct()
+            both = rows.alias("x").join(center.alias("y"), (F.col("x.table") == F.col("y.table")) & possible)
+            pairs = both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         judged = materialize(verify(pairs, bodies), "judged")
-        tested = judged if tested is None else tested.unionByName(judged)
-        links = tested.where("linked").select("a", "b")
-        labels = components(links)
+        tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
+        joined = judged.where("linked").count()
+        if joined:
+            links = judged.where("linked")
+            if known is not None:
+                # Links between the components so far.
+                links = links.join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+                links = links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+            fresh = components(links)
+            if known is None:
+                known = fresh
+            else:
+                moved = known.join(fresh.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+                known = materialize(moved.unionByName(fresh.join(known.select("node"), "node", "left_anti")), "labels")
         if last:
             break
-    return links, labels
+        first_joined = first_joined or joined
+        last = joined * 20 <= first_joined or step == MAX_ROUNDS - 2
+    return known
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, kept; and the set's digest."""
+    """A row per document: doc_id, n_shingles, component_id, kept."""
     sketch = materialize(sketches(docs), "sketches")
     found = materialize(classes(sketch), "classes")
-    _, labels = _links(docs, found)
-    ids = found.select("digest", "doc_id")
-    if labels is not None:
-        parts = ids.join(labels, ids["digest"] == labels["node"], "left").select("digest", "doc_id", F.coalesce("label", "digest").alias("label"))
+    known = labels(docs, found)
+    parts = found.select("digest", "node", "doc_id")
+    if known is None:
+        ids = parts.select("digest", F.col("doc_id").alias("component_id"))
+    else:
+        parts = parts.join(known, "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
         least = parts.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         ids = parts.join(least, "label").select("digest", "component_id")
-    else:
-        ids = ids.withColumnRenamed("doc_id", "component_id")
     out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(ids, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with the columns of ``docs``; a repeated row (same doc_id and text)
+    once. Rows with null doc_id stay: no doc_id says which of them would."""
+    ids = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_sw_id")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull())
+    kept = named.join(ids, named["doc_id"] == ids["_sw_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
