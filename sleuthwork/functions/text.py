@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed as V
@@ -85,9 +85,9 @@ def is_discriminative(token: Column) -> Column:
     return ~generic & (F.length(low) >= 4) & ~low.rlike("^[0-9]+$") & (shaped | shouted | (F.length(low) >= 6))
 
 
-def first_spellings(values: Column) -> Column:
-    """Distinct values regardless of case; the first spelling stays."""
-    low = lowered(values)
+def first_spellings(values: Column, low: Column) -> Column:
+    """Distinct values regardless of case; the first spelling stays. ``low``: the values lower-cased, as a
+    column (a nested expression would be evaluated for every element)."""
     return F.filter(values, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
 
 
@@ -100,26 +100,31 @@ def tokenize(text: Column) -> Column:
     return F.array_sort(F.array_distinct(lowered(F.concat(words, parts, find_all(text, V.DUNDER)))))
 
 
-def symbols(signature: Column) -> Column:
-    found = [V.BACKTICK, V.DUNDER, V.DOTTED, V.CAMEL, V.HYPHEN_MODULE, V.HTTP_ROUTE]
-    raw = F.concat(*[F.transform(find_all(signature, p), lambda s: F.trim(s)) for p in found])
-    return first_spellings(F.filter(raw, lambda s: (s != "") & ~s.rlike("^[0-9]+$")))
+def with_fingerprint(df: DataFrame, error: Column, context: Column | None = None) -> DataFrame:
+    """Adds ``fingerprint``: a struct of signature, hash, tokens, discriminative tokens and typed lists.
 
-
-def fingerprint(error: Column, context: Column | None = None) -> Column:
-    """A struct: signature, hash, tokens, discriminative tokens and the typed lists."""
+    It is made in steps, each a projection of its own, so that no step's pattern is evaluated twice.
+    """
+    keep = df.columns
     source = F.concat_ws("\n", F.when(error != "", error), *([F.when(context != "", context)] if context is not None else []))
-    sig = normalize(source)
-    exceptions = first_spellings(find_all(sig, V.EXCEPTION))
-    codes = first_spellings(F.filter(find_all(sig, V.ERROR_CODE), lambda c: ~F.array_contains(exceptions, c)))
-    packages, frames, files = (first_spellings(find_all(sig, p)) for p in (V.PACKAGE, V.FRAME, V.FILE))
-    versions = first_spellings(find_all(sig, V.VERSIONISH, 0))
-    pool = F.concat(exceptions, codes, packages, symbols(sig), frames, files, find_all(sig, V.PLAIN_WORD, 0))
-    return F.struct(
+    df = df.withColumn("_sig", normalize(source))
+    sig = F.col("_sig")
+    patterns = {"exceptions": V.EXCEPTION, "codes": V.ERROR_CODE, "packages": V.PACKAGE, "frames": V.FRAME, "files": V.FILE}
+    raw = {f"_{n}": find_all(sig, p) for n, p in patterns.items()}
+    shapes = [find_all(sig, p) for p in (V.BACKTICK, V.DUNDER, V.DOTTED, V.CAMEL, V.HYPHEN_MODULE, V.HTTP_ROUTE)]
+    raw["_symbols"] = F.filter(F.transform(F.concat(*shapes), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike("^[0-9]+$"))
+    raw["_versions"], raw["_plain"] = find_all(sig, V.VERSIONISH, 0), find_all(sig, V.PLAIN_WORD, 0)
+    df = df.withColumns(raw)
+    df = df.withColumn("_codes", F.array_except("_codes", "_exceptions"))
+    lists = [*patterns, "symbols", "versions"]
+    df = df.withColumns({f"_l_{n}": lowered(F.col(f"_{n}")) for n in lists})
+    df = df.withColumns({f"_{n}": first_spellings(F.col(f"_{n}"), F.col(f"_l_{n}")) for n in lists})
+    pool = F.concat(*[F.col(f"_{n}") for n in ("exceptions", "codes", "packages", "symbols", "frames", "files", "plain")])
+    made = F.struct(
         sig.alias("signature"), F.when(sig == "", F.lit("")).otherwise(F.substring(F.sha2(F.lower(sig), 256), 1, 32)).alias("hash"), tokenize(sig).alias("tokens"),
-        F.array_distinct(lowered(F.filter(pool, is_discriminative))).alias("discriminative"), exceptions.alias("exceptions"), codes.alias("codes"),
-        symbols(sig).alias("symbols"), packages.alias("packages"), frames.alias("frames"), files.alias("files"), versions.alias("versions"),
+        F.array_distinct(lowered(F.filter(pool, is_discriminative))).alias("discriminative"), *[F.col(f"_{n}").alias(n) for n in lists],
     )
+    return df.select(*keep, made.alias("fingerprint"))
 
 
 def query_tokens(discriminative: Column) -> Column:
@@ -179,7 +184,7 @@ def path_tails(paths: Column) -> Column:
 
 
 def references(text: Column) -> Column:
-    """Distinct references as structs (kind, value, confidence); URLs are read first and then left out."""
+    """References as structs (kind, value, confidence), in order and not yet distinct; URLs are read first and then left out."""
     raw = F.coalesce(text, F.lit(""))
     url = lambda g: find_all(raw, V.REF_URL, g)
     kinds = F.create_map(*[x for k, v in V.REF_KINDS.items() for x in (F.lit(k), F.lit(v))])
@@ -192,8 +197,7 @@ def references(text: Column) -> Column:
         from_urls, made(find_all(bare, V.REF_NUMBER), "number", lambda v: F.lit("high")),
         made(shas, "commit", lambda v: F.when(F.length(v) >= 12, "high").otherwise("medium")), made(find_all(bare, V.REF_VERSION), "version", lambda v: F.lit("medium")),
     )
-    keys = F.transform(every, lambda r: F.concat_ws(":", r["kind"], F.lower(r["value"])))
-    return F.filter(every, lambda r, i: F.array_position(keys, F.concat_ws(":", r["kind"], F.lower(r["value"]))) == i + 1)
+    return every
 
 
 def ilike_token(token: Column) -> Column:

@@ -90,7 +90,7 @@ def resolve_context(observations: DataFrame, catalog: DataFrame) -> DataFrame:
     Observations: workspace_id, name, version, priority (1 is best). Catalog: name, repo_id.
     """
     named = observations.join(catalog, "name", "left")
-    w = Window.partitionBy("workspace_id").orderBy("priority", "name")
+    w = Window.partitionBy("workspace_id").orderBy("priority", "name", "version")
     versions = observations.where("version IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("workspace_id", F.col("version").alias("core_version"))
     repos = named.groupBy("workspace_id").agg(F.count_distinct("repo_id").alias("repos"), F.min("repo_id").alias("_one"))
     return repos.join(versions, "workspace_id", "left").select("workspace_id", F.when(F.col("repos") == 1, F.col("_one")).alias("repo_id"), (F.col("repos") > 1).alias("ambiguous"), "core_version")

@@ -113,8 +113,10 @@ def resolve_change(linked: DataFrame, inferred: DataFrame) -> DataFrame:
 
 
 def reference_edges(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``object_id, kind, value, confidence`` of the references in texts."""
-    return df.select(F.col(key).alias("object_id"), F.explode(fn.references(F.col(text))).alias("r")).select("object_id", "r.*")
+    """``object_id, kind, value, confidence`` of the references in texts: the first of each kind and value,
+    whatever its case."""
+    rows = df.select(F.col(key).alias("object_id"), F.posexplode(fn.references(F.col(text))).alias("i", "r")).select("object_id", "i", "r.*")
+    return rows.groupBy("object_id", "kind", F.lower("value").alias("_v")).agg(F.min_by(F.struct("value", "confidence"), "i").alias("r")).select("object_id", "kind", "r.*")
 
 
 def package_family(packages: DataFrame, manifests: DataFrame) -> DataFrame:

@@ -11,9 +11,8 @@ from ..functions import text as fn
 VALUE_LIMIT = 300
 
 
-def feature_arrays(text: Column) -> dict[str, Column]:
-    """The feature classes that are read without a subject: one array each."""
-    sig = fn.normalize(text)
+def feature_arrays(sig: Column) -> dict[str, Column]:
+    """The feature classes of a normalised text that are read without a subject: one array each."""
     error = F.array_distinct(fn.lowered(F.concat(fn.find_all(sig, V.EXCEPTION), fn.find_all(sig, V.ERROR_CODE))))
     camel = F.filter(fn.find_all(sig, V.CAMEL), lambda c: F.length(c) >= 6)
     shapes = fn.lowered(F.concat(fn.find_all(sig, V.DUNDER), fn.find_all(sig, V.DOTTED), camel, fn.find_all(sig, V.HTTP_ROUTE)))
@@ -23,15 +22,24 @@ def feature_arrays(text: Column) -> dict[str, Column]:
     }
 
 
+def _tagged(kind: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), F.substring(v, 1, VALUE_LIMIT).alias("value")))
+
+
 def mine(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``object_id, kind, value`` of each text, with the extractor's version."""
-    arrays = feature_arrays(F.col("_text"))
-    tagged = F.concat(*[F.transform(values, lambda v, k=kind: F.struct(F.lit(k).alias("kind"), F.substring(v, 1, VALUE_LIMIT).alias("value"))) for kind, values in arrays.items()])
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("object_id"), F.col(text).alias("_text"))
-    rows = rows.select("object_id", F.explode(F.array_distinct(tagged)).alias("f"))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("object_id"), fn.normalize(F.col(text)).alias("_sig"))
+    arrays = feature_arrays(F.col("_sig"))
+    rows = rows.withColumns({f"_{k}": a for k, a in arrays.items()})
+    every = F.concat(*[_tagged(k, F.col(f"_{k}")) for k in arrays])
+    rows = rows.select("object_id", F.explode(F.array_distinct(every)).alias("f"))
     return rows.select("object_id", "f.kind", "f.value", F.lit(V.FEATURE_EXTRACTOR_VERSION).alias("extractor_version"))
 
 
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return fn.with_fingerprint(df.select(key, text), F.col(text)).drop(text)
+
+
 def frequencies(signatures: DataFrame) -> DataFrame:
     """Objects that have a value, whatever its kind."""
     return signatures.select("object_id", "value").distinct().groupBy("value").agg(F.count("*").alias("doc_freq"))
