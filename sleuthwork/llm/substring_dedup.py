@@ -3,7 +3,7 @@
 A chunk ends after a byte at which the gear hash of the last 16 bytes falls below a bound (about one byte
 in 26) and did not at the byte before; it depends on those bytes alone, so an insertion moves the borders
 next to it only. The first 16 bytes of a text end no chunk. A chunk of over 256 bytes (such as one word
-over and over, where the hash repeats as well) is cut before every eighth word. A chunk's digest is a 64-bit hash of its bytes.
+over and over, where the hash repeats as well) is cut before every eighth word and after 65,536 bytes. A chunk's digest is a 64-bit hash of its bytes.
 
 A digest that occurs in two documents (different doc_ids) is repeated; its smallest doc_id keeps it.
 Neighbouring repeated chunks of a document form a span. A span is reported if it has at least
@@ -32,7 +32,7 @@ from ._common import SPACE, _powers, arrow_type, buffers, mix, slices
 WINDOW = 16
 BOUND = 10
 #: Longer chunks are cut before every so many words.
-LONG, LONG_WORDS = 256, 8
+LONG, LONG_WORDS, LONGEST = 256, 8, 1 << 16
 MIN_RUN = 12
 PASSAGE = 46
 
@@ -40,7 +40,10 @@ _rng = np.random.Generator(np.random.PCG64(42))
 _GEAR = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P, _PINV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CHUNKS = "doc_id long, text_hash long, seq int, digest long, words int, before int, after int, start long, stop long"
+#: A chunk in three words: where it is, how long, which one of its text, and words in and around it.
+CHUNKS = "digest long, doc_id long, number long, place long, words long"
+BITS = 20
+MASK = (1 << BITS) - 1
 
 
 def borders(raw: np.ndarray) -> np.ndarray:
@@ -82,6 +85,7 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     start = np.concatenate([[0], stop[:-1]])
     for k in np.flatnonzero(stop - start > LONG).tolist():
         ends[start[k] + np.flatnonzero(first[start[k] : stop[k]])[1:][::LONG_WORDS] - 1] = True
+        ends[start[k] + LONGEST - 1 : stop[k] : LONGEST] = True
     stop = np.flatnonzero(ends) + 1
     start = np.concatenate([[0], stop[:-1]])
     row = np.searchsorted(off, start, side="right") - 1
@@ -112,7 +116,8 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """All chunks of all documents with their places and the words of the chunks beside them."""
+    """All chunks of all documents: digest, doc_id, and packed into three numbers the text's hash (32 bits) and
+    the chunk's number; its start and length; the words that begin in it, before it and after it."""
     arrow = arrow_type(CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +134,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 before, after = np.append(0, words[:-1])[: len(row)], np.append(words[1:], 0)[: len(row)]
                 before, after = np.where(head, 0, before), np.where(tail, 0, after)
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-                cols = [ids[row], text_hash[row], seq, digest, words, before, after, start - off[row], stop - off[row]]
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+                number = (text_hash[row] & np.int64(0xFFFFFFFF)) << np.int64(32) | seq
+                place = (start - off[row]) << np.int64(BITS) | (stop - start)
+                packed = words << np.int64(2 * BITS) | before << np.int64(BITS) | after
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip([digest, ids[row], number, place, packed], arrow, strict=True)], schema=arrow)
 
     return _rows(docs).mapInArrow(run, CHUNKS)
 
@@ -139,14 +146,20 @@ def spans(docs: DataFrame, min_run: int = MIN_RUN, passage: int = PASSAGE) -> Da
     """A row per repeated passage of a document: doc_id, text_hash, span_start and span_end (bytes of the
     UTF-8 text), n_words, n_chunks, first_doc_id (who keeps its largest part), removed (someone else does)."""
     found = occurrences(docs).join(repeated(docs), "digest")
-    item = F.struct("seq", "words", "before", "after", "start", "stop", "first_doc_id")
-    lists = found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(item)).alias("c"))
+    text_hash = F.shiftrightunsigned("number", 32).cast("long")
+    item = F.struct("number", "place", "words", "first_doc_id")
+    lists = found.groupBy("doc_id", text_hash.alias("text_hash")).agg(F.array_sort(F.collect_set(item)).alias("c"))
+    rows = lists.select("doc_id", "text_hash", F.posexplode("c").alias("i", "x"))
+    seq, place, words = F.col("x.number").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("x.place"), F.col("x.words")
     # A span begins at a chunk whose predecessor isn't repeated; the chunk's number less its place in
     # the list is the same within a span.
-    rows = lists.select("doc_id", "text_hash", F.posexplode("c").alias("i", "x")).select("doc_id", "text_hash", (F.col("x.seq") - F.col("i")).alias("g"), "x.*")
-    keeper = F.struct((F.col("stop") - F.col("start")).alias("size"), (-F.col("first_doc_id")).alias("minus"))
+    rows = rows.select(
+        "doc_id", "text_hash", (seq - F.col("i")).alias("g"), seq.alias("seq"), F.shiftright(place, BITS).alias("start"), place.bitwiseAND(F.lit(MASK)).alias("size"),
+        F.shiftright(words, 2 * BITS).alias("words"), F.shiftright(words, BITS).bitwiseAND(F.lit(MASK)).alias("before"), words.bitwiseAND(F.lit(MASK)).alias("after"), F.col("x.first_doc_id").alias("first_doc_id"),
+    )
+    keeper = F.struct("size", (-F.col("first_doc_id")).alias("minus"))
     runs = rows.groupBy("doc_id", "text_hash", "g").agg(
-        F.sum("words").cast("long").alias("n_words"), F.count("*").alias("n_chunks"), F.min("start").alias("span_start"), F.max("stop").alias("span_end"),
+        F.sum("words").cast("long").alias("n_words"), F.count("*").alias("n_chunks"), F.min("start").alias("span_start"), F.max(F.col("start") + F.col("size")).alias("span_end"),
         F.min_by("before", "seq").alias("b"), F.max_by("after", "seq").alias("a"), F.max(keeper).alias("k"), F.sum((F.col("first_doc_id") != F.col("doc_id")).cast("int")).alias("others"),
     )
     runs = runs.where((F.col("n_words") >= min_run) & (F.col("n_words") + F.col("b") + F.col("a") >= passage))
@@ -172,7 +185,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for b in slices(whole, "text"):
                 h = chunks(b.column("text"))[-1]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h)], schema=arrow_hashed)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h & np.int64(0xFFFFFFFF))], schema=arrow_hashed)
 
     out_schema = T.StructType(hashed_schema.fields[:-1])
     arrow_out = arrow_type(out_schema)
