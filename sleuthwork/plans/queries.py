@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions import text as fn
 from ..functions import versions as ver
-from ..operators import content, decisions, evals, history, identity, retrieval, signatures, upsert
+from ..operators import content, decisions, evals, history, identity, retrieval, signatures, subjects, upsert
 from ..sources.payloads import probe, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -470,3 +470,10 @@ def hash_sample(spark, d):
 @query()
 def table_digest(spark, d):
     return upsert.digest(read_table(spark, d, "customer"))
+
+
+@query()
+def subject_roles(spark, d):
+    """Packages, modules and claims that documents and conversations state; no SQL reads language."""
+    turns = read_table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return subjects.classify(read_table(spark, d, "documents").select("doc_id", "text").unionByName(turns))
