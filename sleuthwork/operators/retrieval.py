@@ -12,26 +12,40 @@ from ..functions import text as fn
 ROUND = 9
 
 
+#: Patterns without a literal trigram that one pass over the units takes.
+PATTERN_BLOCK = 1_000
+
+
+def _grams(text) -> F.Column:
+    """The distinct runs of three characters of a lower-cased text."""
+    low = F.lower(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
+
+
 def token_hits(units: DataFrame, tokens: DataFrame) -> DataFrame:
     """``object_id, token, unit_hits``: units of an object that match a token as an unescaped ILIKE pattern.
 
     A match of a token without blanks lies in one word. Words are matched once, in the distinct vocabulary,
     and found by a trigram that both share (an equi-join); the words then lead back to the units. Tokens
-    with blanks or without a literal trigram are matched against the units directly.
+    with blanks or wildcards share a trigram with the unit itself. Those without a literal trigram are
+    matched with every unit, in blocks of ``PATTERN_BLOCK``, so what is broadcast is bounded.
     """
     distinct = tokens.select("token").where("token IS NOT NULL").distinct()
     keyed = distinct.withColumn("gram", F.regexp_extract(F.lower("token"), r"[^\s_%\\]{3}", 0)).withColumn("like", fn.ilike_token(F.col("token")))
-    by_word = keyed.where((F.col("gram") != "") & ~F.col("token").rlike(r"[\s_%]"))
+    loose = F.col("token").rlike(r"[\s_%\\]")
+    counts = keyed.agg(F.count_if((F.col("gram") != "") & loose).alias("loose"), F.count_if(F.col("gram") == "").alias("bare")).first()
     words = units.select("object_id", "seq", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where("word <> ''")
-    vocabulary = words.select("word").distinct()
-    low = F.lower("word")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    near = vocabulary.select("word", F.explode(F.array_distinct(grams)).alias("gram")).join(by_word, "gram")
+    near = words.select("word").distinct().select("word", F.explode(_grams("word")).alias("gram")).join(keyed.where((F.col("gram") != "") & ~loose), "gram")
     found = near.where(F.expr("word ILIKE like")).select("word", "token")
-    in_words = words.join(found, "word").select("object_id", "seq", "token").distinct()
-    rest = keyed.where((F.col("gram") == "") | F.col("token").rlike(r"[\s_%]"))
-    direct = units.join(F.broadcast(rest), F.expr("text ILIKE like")).select("object_id", "seq", "token").distinct()
-    return in_words.unionByName(direct).groupBy("object_id", "token").agg(F.count("*").alias("unit_hits"))
+    out = words.join(found, "word").select("object_id", "seq", "token").distinct()
+    if counts["loose"]:
+        spread = units.select("object_id", "seq", "text", F.explode(_grams("text")).alias("gram")).join(keyed.where((F.col("gram") != "") & loose), "gram")
+        out = out.unionByName(spread.where(F.expr("text ILIKE like")).select("object_id", "seq", "token").distinct())
+    blocks = -(-counts["bare"] // PATTERN_BLOCK)
+    for k in range(blocks):
+        part = keyed.where((F.col("gram") == "") & (F.pmod(F.xxhash64("token"), F.lit(blocks)) == k))
+        out = out.unionByName(units.join(F.broadcast(part), F.expr("text ILIKE like")).select("object_id", "seq", "token").distinct())
+    return out.groupBy("object_id", "token").agg(F.count("*").alias("unit_hits"))
 
 
 def doc_freq(hits: DataFrame) -> DataFrame:
