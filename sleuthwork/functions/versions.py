@@ -36,7 +36,7 @@ def _numbers(raw: Column) -> Column:
 
 
 def normalize_version(raw: Column) -> Column:
-    """The canonical spelling, e.g. ``dsh-v0.1.2-alpha.3`` as ``0.1.2a3``; NULL when unsure."""
+    """The canonical spelling, e.g. ``abc-v0.1.2-alpha.3`` as ``0.1.2a3``; NULL when unsure."""
     number = lambda k: F.coalesce(_group(raw, k), F.lit("0")).cast("decimal(20,0)").cast("string")
     epoch = F.when(number(1) != "0", F.concat(number(1), F.lit("!"))).otherwise("")
     release = F.array_join(F.transform(_numbers(raw), lambda n: n.cast("string")), ".")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 
-# Word classes of predicates.
+# Word classes of predicates and names, and labels of provenance.
 FAILURES = (
     "crash crashes crashed crashing fail fails failed failing throw throws threw thrown throwing error errors errored break breaks broke broken breaking hang hangs hung hanging "
     "panic panics panicked die dies died abort aborts aborted regress regresses regressed"
@@ -46,6 +46,7 @@ _NOT = {"cannot", "never", "not"}
 _COPULA = set("is was are were be been looks look seems seem remains remain has have had will would can could does did do still also again now".split())
 _LINK = re.compile(r"[,;:]|--?\s|\b(?:and|but|then|yet|which|that|when|while|however|so|because)\b")
 _POINTER = re.compile(r"^(?:it|they|said\s+\w+|(?:this|that|the)\s+(?:package|module|library|dependency|plugin|component|thing))\s+")
+# Cues before a name.
 _USES = re.compile(
     r"(?:depends?\s+(?:up)?on|dependenc(?:y|ies)(?:\s+on)?|uses?|using|used\s+by|imports?|imported|importing|requires?|required|requiring|installs?|installed|installing|bundles?|bundled|bundling|"
     r"pulls?\s+in|via|through|resolve[sd]?\s+to|pinned|upgraded?|version)\b[^.\n]{0,30}$"

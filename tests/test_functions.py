@@ -12,7 +12,7 @@ def one(spark, column, **values):
     return df.select(column.alias("r")).first()["r"]
 
 
-@pytest.mark.parametrize("raw,want", [("dsh-v0.1.2-alpha.3", "0.1.2a3"), ("v0.2.3", "0.2.3"), ("release-1.4", "1.4"), ("foo@1.4", "1.4"), ("0.1.1-rc.2", "0.1.1rc2"), *[(x, None) for x in (None, "", "latest", "main", "nightly", "v")]])
+@pytest.mark.parametrize("raw,want", [("abc-v0.1.2-alpha.3", "0.1.2a3"), ("v0.2.3", "0.2.3"), ("release-1.4", "1.4"), ("foo@1.4", "1.4"), ("0.1.1-rc.2", "0.1.1rc2"), *[(x, None) for x in (None, "", "latest", "main", "nightly", "v")]])
 def test_normalize_version(spark, raw, want):
     assert one(spark, ver.normalize_version(F.col("v")), v=raw) == want
 

@@ -20,10 +20,10 @@ def test_content_units_types(spark):
 
 
 def test_token_hits_wildcards(spark):
-    units = spark.createDataFrame([(1, 0, "call __dsh_boot__ now"), (2, 0, "call xxdshxbootyy now"), (3, 0, "Some Error-Code here")], "object_id long, seq int, text string")
-    tokens = spark.createDataFrame([(1, "__dsh_boot__"), (1, "error-code"), (1, "code here"), (1, "absent")], "request_id long, token string")
+    units = spark.createDataFrame([(1, 0, "call __abc_boot__ now"), (2, 0, "call xxabcxbootyy now"), (3, 0, "Some Error-Code here")], "object_id long, seq int, text string")
+    tokens = spark.createDataFrame([(1, "__abc_boot__"), (1, "error-code"), (1, "code here"), (1, "absent")], "request_id long, token string")
     got = {(r["object_id"], r["token"]) for r in retrieval.token_hits(units, tokens).collect()}
-    assert got == {(1, "__dsh_boot__"), (2, "__dsh_boot__"), (3, "error-code"), (3, "code here")}
+    assert got == {(1, "__abc_boot__"), (2, "__abc_boot__"), (3, "error-code"), (3, "code here")}
 
 
 def test_search_rolls_up_threads(spark):
