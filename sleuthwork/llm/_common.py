@@ -51,6 +51,28 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
 
 
+_HELD: list[dict] = []
+
+
+def claim(cache: dict | None = None) -> None:
+    """Called in a Python worker that begins a task: caches of other operators are given back to the
+    system, so a worker that many stages share holds one operator's tables at a time."""
+    others = [c for c in _HELD if c is not cache and c]
+    if cache is not None and not any(c is cache for c in _HELD):
+        _HELD.append(cache)
+    if others:
+        import ctypes
+        import gc
+
+        for c in others:
+            c.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

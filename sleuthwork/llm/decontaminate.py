@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import PUNCT, Words, _powers, arrow_type, mix, slices
+from ._common import PUNCT, Words, _powers, arrow_type, claim, mix, slices
 
 WINDOW = 8
 SHINGLE = 3
@@ -124,6 +124,7 @@ def _frequencies(docs: DataFrame, block) -> dict[int, int]:
     """Documents that hold each shingle of the block, by its slot."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         win = block.value
         total = np.zeros(len(win.table.values), np.int64)
         for whole in batches:
@@ -189,6 +190,7 @@ def _pass(docs: DataFrame, block) -> DataFrame:
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         win = block.value
         for whole in batches:
             for b in slices(whole, "_sw_text"):

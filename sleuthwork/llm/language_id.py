@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_type, buffers, slices
+from ._common import arrow_type, buffers, claim, slices
 
 SAMPLE_BYTES = 96 << 10
 TEXT_BYTES = 4 << 10
@@ -40,7 +40,7 @@ SPACE_CLASS = 1
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
@@ -86,8 +86,8 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
         last = cur
     out = np.zeros((len(follow), width), np.int32)
     for s, row in enumerate(follow):
-        for c, t in row.items():
-            out[s, c] = t
+        out[s, list(row)] = list(row.values())
+        follow[s] = None
     return out
 
 
@@ -99,7 +99,7 @@ class Model:
         texts = [plain(np.frombuffer(samples[k], np.uint8)) for k in self.labels]
         seen = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.int64)
         #: Class 0 is any byte that no sample has.
-        self.classes = np.zeros(256, np.int32)
+        self.classes = np.zeros(256, np.uint8)
         self.classes[seen] = np.arange(1, len(seen) + 1)
         self.width = len(seen) + 1
         self.bits = [float(np.log2(max(2, len(t)))) for t in texts]
@@ -109,12 +109,13 @@ class Model:
             start = np.where(table[1] > 0, table[1], 1)
             start[0] = 1
             # States are stored times the width, so a step is one addition and one look-up.
-            self.next.append(((table * self.width).ravel(), (start * self.width).astype(np.int32)))
+            table *= self.width
+            self.next.append((table.ravel(), (start * self.width).astype(np.int32)))
 
     def costs(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits that each language takes for each text (rows of ``off``), and the texts' lengths."""
         rows = len(off) - 1
-        owner = np.repeat(np.arange(rows), np.diff(off))
+        owner = np.repeat(np.arange(rows, dtype=np.int32), np.diff(off))
         b = _LOWER[raw]
         b[(raw < 128) & ~_LETTER[raw]] = 32
         keep = np.ones(len(b), bool)
@@ -140,8 +141,8 @@ class Model:
             for s, p, (table, start) in zip(state, phrases, self.next, strict=True):
                 t = table[s[:k] + c]
                 miss = t == 0
-                if i:
-                    p[:k] += miss
+                if i:  # a phrase also begins after a byte that the sample lacks
+                    p[:k] += miss | (s[:k] == self.width)
                 s[:k] = np.where(miss, start[c], t)
         for j, p in enumerate(phrases):
             out[:, j] = np.bincount(lane_owner, p, minlength=rows) * self.bits[j]
@@ -151,7 +152,7 @@ class Model:
         raw, off = buffers(texts)
         raw, off = raw[off[0] : off[-1]], off - off[0]
         rows = len(off) - 1
-        letters = np.concatenate([[0], np.cumsum(_LETTER[raw])])[off]
+        letters = np.concatenate([[0], np.cumsum(_LETTER[raw], dtype=np.int32)])[off]
         known = np.diff(letters) > 0
         for r in np.flatnonzero(~known & (np.diff(off) > 0)).tolist():
             known[r] = any(ch.isalpha() for ch in raw[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace"))
@@ -195,6 +196,7 @@ _MODELS: dict[bytes, Model] = {}
 def _model(data: dict[str, bytes]) -> Model:
     """A worker builds the automata of one training sample once."""
     key = hashlib.sha256(repr(sorted(data.items())).encode()).digest()
+    claim(_MODELS)
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = Model(data)
@@ -212,7 +214,7 @@ def identify(docs: DataFrame, training: dict[str, bytes] | None = None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(data.value)
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text", 1 << 20):
                 lang, score = model.predict(b.column("text"))
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(lang, pa.string()), pa.array(score)], schema=arrow)
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, Words, arrow_type, distinct_sorted, materialize, mix, slices
+from ._common import SPACE, Words, arrow_type, claim, distinct_sorted, materialize, mix, slices
 
 SHINGLE = 5
 SIMILARITY = 75
@@ -90,8 +90,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     arrow = arrow_type(SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 1 << 20):
                 values, bounds = sets(b.column("text"))
                 n = np.diff(bounds)
                 keys = half_keys(values, bounds)

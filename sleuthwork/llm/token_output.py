@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_type, buffers, shared_dir, shuffle_width, slices
+from ._common import arrow_type, claim, shared_dir, shuffle_width, slices
 
 BLOCK_SCHEMA = "part int, block int, n_docs long, n_tokens long, blob binary"
 DOC_SCHEMA = "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long"
@@ -169,6 +169,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    claim(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
