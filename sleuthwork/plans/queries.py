@@ -258,12 +258,12 @@ def identity_cascade(spark, d):
     return identity.evaluate(_identity_pairs(spark, d)).select("query_id", "candidate_id", "rejection", "rule", "accepted")
 
 
-@query("""WITH b AS (SELECT item_id AS request_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{13,}'))) AS value FROM benchmark),
-s AS (SELECT DISTINCT doc_id AS object_id, unnest(regexp_extract_all(lower(text), '[a-z]{13,}')) AS value FROM documents),
+@query("""WITH b AS (SELECT item_id AS request_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}'))) AS value FROM benchmark),
+s AS (SELECT DISTINCT doc_id AS object_id, unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS value FROM documents),
 p AS (SELECT DISTINCT request_id, object_id FROM b JOIN s USING (value))
 SELECT p.object_id, 'structural' AS kind, b.value, p.request_id FROM p JOIN b USING (request_id) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.object_id = p.object_id AND s.value = b.value)""")
 def anchors_mismatch(spark, d):
-    words = lambda df, key, name: df.select(F.col(key).alias(name), F.lit("structural").alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{13,}"), F.lit(0)))).alias("value"))
+    words = lambda df, key, name: df.select(F.col(key).alias(name), F.lit("structural").alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,}"), F.lit(0)))).alias("value"))
     want, have = words(read_table(spark, d, "benchmark"), "item_id", "request_id"), words(read_table(spark, d, "documents"), "doc_id", "object_id")
     pairs = want.join(have, ["kind", "value"]).select("request_id", "object_id").distinct().join(want, "request_id")
     return identity.anchors_missing(pairs, have).select("object_id", "kind", "value", "request_id")
@@ -420,12 +420,12 @@ def evidence_packet(spark, d):
 
 
 @query("""WITH o AS (SELECT c_custkey % 300 AS workspace_id, c_mktsegment AS name, CASE WHEN c_custkey % 3 <> 0 THEN 'v' || (c_custkey % 7) END AS version, c_custkey % 4 AS priority FROM customer),
-c AS (SELECT * FROM (VALUES ('BUILDING', 1), ('AUTOMOBILE', 1), ('MACHINERY', 2)) t(name, repo_id)),
+c AS (SELECT * FROM (VALUES ('BUILDING', 'r1'), ('AUTOMOBILE', 'r1'), ('MACHINERY', 'r2')) t(name, repo_id)),
 v AS (SELECT workspace_id, version FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY priority, name, version) AS n FROM (SELECT DISTINCT * FROM o) WHERE version IS NOT NULL) WHERE n = 1)
 SELECT workspace_id, CASE WHEN count(DISTINCT repo_id) = 1 THEN min(repo_id) END AS repo_id, count(DISTINCT repo_id) > 1 AS ambiguous, any_value(v.version) AS core_version FROM o LEFT JOIN c USING (name) LEFT JOIN v USING (workspace_id) GROUP BY workspace_id""")
 def workspace_context(spark, d):
     rows = read_table(spark, d, "customer").select((F.col("c_custkey") % 300).alias("workspace_id"), F.col("c_mktsegment").alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("v"), (F.col("c_custkey") % 7).cast("string"))).alias("version"), (F.col("c_custkey") % 4).alias("priority")).distinct()
-    catalog = spark.createDataFrame([("BUILDING", 1), ("AUTOMOBILE", 1), ("MACHINERY", 2)], "name string, repo_id int")
+    catalog = spark.createDataFrame([("BUILDING", "r1"), ("AUTOMOBILE", "r1"), ("MACHINERY", "r2")], "name string, repo_id string")
     return decisions.resolve_context(rows, catalog)
 
 
