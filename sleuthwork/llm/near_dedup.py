@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import SPACE, Words, arrow_type, claim, distinct_sorted, materialize, mix, slices
@@ -111,23 +111,26 @@ def sketches(docs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` for links (a, b): the least node reachable, for each node that isn't it.
 
-    Large-star and small-star steps in turn until a turn finds nothing to change (it says so by the way);
-    each is aggregations and joins with one row per node on one side, so a node with very many links is
-    no group of its own.
+    Large-star and small-star steps in turn until a turn changes nothing (the number of edges and a sum of
+    their hashes stay); each is aggregations and joins with one row per node on one side, so a node with
+    very many links is no group of its own.
     """
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = mark(edges)
     while True:
-        seen = Observation(), Observation()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").observe(seen[0], F.coalesce(F.sum((F.col("u") != F.col("m")).cast("long")), F.lit(0)).alias("n"))
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).observe(seen[1], F.coalesce(F.sum((F.col("c") > 1).cast("long")), F.lit(0)).alias("n"))
-        small = large.join(down.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        turned = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        if not any(o.get["n"] for o in seen):
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = mark(edges)
+        if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        edges = turned
+        before = after
 
 
 def _bloom_places(ids: np.ndarray) -> np.ndarray:
@@ -343,3 +346,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     named = docs.where(F.col("doc_id").isNotNull())
     kept = named.join(ids, named["doc_id"] == ids["_sw_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+#: The same rows in DuckDB: all pairs that share a shingle, and what each document reaches.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p : p + least(5, len(ws)) - 1], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM k JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r(x, y) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.y AS component_id, w.doc_id = m.y AS kept FROM w LEFT JOIN n USING (doc_id) JOIN m ON m.x = w.doc_id
+"""
