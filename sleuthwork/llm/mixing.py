@@ -162,8 +162,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     with the words of its selected ranges, if any (its n_chars is counted anew)."""
     row = docs.select(F.struct(*docs.columns).alias("_row"), *docs.columns)
     out = mix(sized(row, "_row"), materialize(sized(docs), "mix-sizes")).where("taken > 0").select("_row", "full", "ranges")
-    words = F.regexp_extract_all(F.col("_row.text").cast("string"), F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
+    # The words are a column of their own: inside the lambda they would be cut anew for every range.
+    out = out.withColumn("_words", F.when(F.size("ranges") > 0, F.regexp_extract_all(F.col("_row.text").cast("string"), F.lit(WORD), F.lit(0))))
+    part = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice("_words", (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
     texts = F.concat(F.array_repeat(F.col("_row.text").cast("string"), F.col("full").cast("int")), F.when(F.size("ranges") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
     out = out.select("_row", F.explode(texts).alias("_text"))
     new = {"text": F.col("_text"), "n_chars": F.length("_text")}
