@@ -231,18 +231,19 @@ _ID_WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))"
 
 
 def _identity_pairs(spark, d):
-    """Documents of one first line, as (query, candidate): long words are symbols, line starts are paths."""
+    """Documents of one first line, each against the first of them: long words stand for features."""
     words = lambda p: F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0)))
     rows = read_table(spark, d, "documents").where("text IS NOT NULL").select(
         "doc_id", F.substring_index("text", "\n", 1).alias("head"), identity.empty_side(structural=words("[a-z]{13,}"), behavior=words("[a-z]{11,12}"), subject_module=words("[a-z]{14,}ble"), component=words("[a-z]{10}tion")).alias("s"))
-    x, y = rows.alias("x"), rows.alias("y")
+    first = rows.groupBy("head").agg(F.min("doc_id").alias("doc_id"))
+    x, y = rows.join(first, ["head", "doc_id"], "left_semi").alias("x"), rows.alias("y")
     return x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("query_id"), F.col("y.doc_id").alias("candidate_id"), F.col("x.s").alias("q"), F.col("y.s").alias("c"))
 
 
 _IDENTITY_SQL = """WITH r AS (SELECT doc_id, string_split(text, chr(10))[1] AS head, list_distinct(regexp_extract_all(lower(text), '[a-z]{13,}')) AS st, list_distinct(regexp_extract_all(lower(text), '[a-z]{11,12}')) AS be,
   list_distinct(regexp_extract_all(lower(text), '[a-z]{14,}ble')) AS mo, list_distinct(regexp_extract_all(lower(text), '[a-z]{10}tion')) AS co FROM documents WHERE text IS NOT NULL),
 p AS (SELECT x.doc_id AS query_id, y.doc_id AS candidate_id, len(list_intersect(x.st, y.st)) AS st, len(list_intersect(x.be, y.be)) AS be, len(list_intersect(x.mo, y.mo)) AS mo, len(list_intersect(x.co, y.co)) AS co,
-  len(x.mo) > 0 AND len(y.mo) > 0 AS named, coalesce(list_bool_or(flatten(list_transform(x.mo, lambda a: list_transform(y.mo, lambda b: contains(a, b) OR contains(b, a))))), false) AS touch FROM r x JOIN r y ON x.head = y.head AND x.doc_id < y.doc_id),
+  len(x.mo) > 0 AND len(y.mo) > 0 AS named, coalesce(list_bool_or(flatten(list_transform(x.mo, lambda a: list_transform(y.mo, lambda b: contains(a, b) OR contains(b, a))))), false) AS touch FROM r x JOIN r y ON x.head = y.head AND x.doc_id < y.doc_id JOIN (SELECT head, min(doc_id) AS doc_id FROM r GROUP BY head) f ON f.doc_id = x.doc_id),
 v AS (SELECT *, round(mo * 1.5 + st * 3.0 + be * 1.5 + co * 0.5, 9)::DOUBLE AS score, CASE WHEN mo > 0 AND (st > 0 OR be >= 2) THEN 'module_plus_second_class' WHEN st >= 2 THEN 'two_independent_symbols' WHEN st > 0 AND be >= 2 THEN 'symbol_plus_behaviour' WHEN be >= 3 AND co >= 2 THEN 'behaviour_profile_plus_component' END AS rule,
   named AND (mo = 0 OR NOT touch) AS weak FROM p),
 w AS (SELECT *, CASE WHEN rule IS NULL THEN 'insufficient_identity_evidence' WHEN weak AND rule IN ('two_independent_symbols', 'symbol_plus_behaviour') THEN 'insufficient_identity_evidence' WHEN score < 4.5 THEN 'identity_score_below_threshold' END AS rejection FROM v)"""
