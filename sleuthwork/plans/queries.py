@@ -259,6 +259,35 @@ def identity_cascade(spark, d):
     return identity.evaluate(_identity_pairs(spark, d)).select("query_id", "candidate_id", "rejection", "rule", "accepted")
 
 
+_IDENTITY_ALL_SQL = _IDENTITY_SQL.replace(" JOIN (SELECT head, min(doc_id) AS doc_id FROM r GROUP BY head) f ON f.doc_id = x.doc_id", "")
+
+
+def _identity_all(spark, d):
+    """Every two documents of one first line. Equal feature sides are judged once, by their representative
+    (the smallest doc_id); a membership table leads the verdicts back to the documents."""
+    words = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0))))
+    rows = read_table(spark, d, "documents").where("text IS NOT NULL").select(
+        "doc_id", F.substring_index("text", "\n", 1).alias("head"), identity.empty_side(structural=words("[a-z]{13,}"), behavior=words("[a-z]{11,12}"), subject_module=words("[a-z]{14,}ble"), component=words("[a-z]{10}tion")).alias("s"))
+    reps = rows.groupBy("head", "s").agg(F.min("doc_id").alias("rep"))
+    members = rows.join(reps, ["head", "s"]).select("head", "rep", "doc_id")
+    # Both orders: a member of either may be the query, and a rule need not be symmetric.
+    x, y = reps.alias("x"), reps.alias("y")
+    pairs = x.join(y, F.col("x.head") == F.col("y.head")).select(F.col("x.head").alias("head"), F.col("x.rep").alias("q_rep"), F.col("y.rep").alias("c_rep"), F.col("x.s").alias("q"), F.col("y.s").alias("c"))
+    judged = identity.evaluate(pairs).drop("q", "c", "family")
+    q, c = (members.select("head", F.col("rep").alias(f"{n}_rep"), F.col("doc_id").alias(i)) for n, i in (("q", "query_id"), ("c", "candidate_id")))
+    return judged.join(q, ["head", "q_rep"]).join(c, ["head", "c_rep"]).where("query_id < candidate_id")
+
+
+@query(_IDENTITY_ALL_SQL + " SELECT query_id, candidate_id, score FROM w")
+def identity_score_all(spark, d):
+    return _identity_all(spark, d).select("query_id", "candidate_id", "score")
+
+
+@query(_IDENTITY_ALL_SQL + " SELECT query_id, candidate_id, rejection, rule, rejection IS NULL AS accepted FROM w")
+def identity_cascade_all(spark, d):
+    return _identity_all(spark, d).select("query_id", "candidate_id", "rejection", "rule", "accepted")
+
+
 @query("""WITH b AS (SELECT item_id AS request_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}'))) AS value FROM benchmark),
 s AS (SELECT DISTINCT doc_id AS object_id, unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS value FROM documents),
 p AS (SELECT DISTINCT request_id, object_id FROM b JOIN s USING (value))
