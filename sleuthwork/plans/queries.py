@@ -36,9 +36,13 @@ def _units(spark: SparkSession, d: str) -> DataFrame:
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     """Up to 24 discriminative words of six letters and more of each benchmark item."""
-    items = read_table(spark, d, "benchmark").where("text IS NOT NULL")
+    return _query_tokens(read_table(spark, d, "benchmark"), "item_id")
+
+
+def _query_tokens(items: DataFrame, key: str) -> DataFrame:
+    items = items.where("text IS NOT NULL")
     words = F.filter(fn.lowered(fn.find_all(F.col("text"), V.PLAIN_WORD, 0)), fn.is_discriminative)
-    return items.select(F.col("item_id").alias("request_id"), F.posexplode(fn.query_tokens(words)).alias("seq", "token"))
+    return items.select(F.col(key).alias("request_id"), F.posexplode(fn.query_tokens(words)).alias("seq", "token"))
 
 
 _GENERIC = ", ".join(f"'{w}'" for w in V.GENERIC_TOKENS)
@@ -141,14 +145,24 @@ k AS (SELECT parent AS thread, token, count(*) AS unit_hits, any_value(ln(1 + (S
 SELECT thread, round(sum(weight), 6) AS score, count(*) AS matched, sum(unit_hits)::BIGINT AS unit_hits FROM k GROUP BY thread""")
 def thread_rollup(spark, d):
     """Conversations as threads: frequencies per turn, scores per thread."""
+    return _rollup(spark, d, "turn = 0 AND conv_id % 10 = 0")
+
+
+def _rollup(spark, d, opening):
     turns = read_table(spark, d, "conversations").where("text IS NOT NULL")
     units = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("object_id"), F.lit(0).alias("seq"), "text")
-    tokens = turns.where("turn = 0 AND conv_id % 10 = 0").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("token")).distinct()
+    tokens = turns.where(opening).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("token")).distinct()
     hits = retrieval.weighted(retrieval.token_hits(units, tokens), units)
     per = hits.groupBy((F.floor(F.col("object_id") / 1000) * 1000).alias("thread"), "token").agg(F.sum("unit_hits").alias("unit_hits"), F.first("weight").alias("weight"))
     return per.groupBy("thread").agg(F.round(F.sum("weight"), 6).alias("score"), F.count("*").alias("matched"), F.sum("unit_hits").alias("unit_hits"))
 
 
+@query(SQL["thread_rollup"].replace(" AND conv_id % 10 = 0", ""))
+def thread_rollup_all(spark, d):
+    """As thread_rollup, with the words of every opening turn."""
+    return _rollup(spark, d, "turn = 0")
+
+
 @query(HITS_SQL + """, b AS (SELECT object_id, token, text, row_number() OVER (PARTITION BY object_id, token ORDER BY length(text), seq) AS n FROM u JOIN d ON contains(lower(u.text), d.token) WHERE length(d.token) >= 14)
 SELECT object_id, token, text AS excerpt FROM b WHERE n = 1""")
 def best_excerpt(spark, d):
@@ -168,6 +182,16 @@ def leave_one_out(spark, d):
     return retrieval.leave_one_out(_units(spark, d), tokens)
 
 
+_LOO_ALL_SQL = HITS_SQL.replace("item_id AS request_id", "doc_id AS request_id").replace("FROM benchmark WHERE text IS NOT NULL", "FROM documents WHERE text IS NOT NULL AND doc_id % 20 = 0")
+
+
+@query(SQL["leave_one_out"].replace(_LOO_SQL, _LOO_ALL_SQL))
+def leave_one_out_all(spark, d):
+    """The census over every twentieth document, with the query tokens of a search."""
+    asked = read_table(spark, d, "documents").where("doc_id % 20 = 0")
+    return retrieval.leave_one_out(_units(spark, d), _query_tokens(asked, "doc_id"))
+
+
 # --- signatures -------------------------------------------------------------------------------------
 
 _HINTS = "[" + ", ".join(f"'{c}'" for c in V.COMPONENTS) + "]"

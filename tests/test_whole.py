@@ -13,3 +13,18 @@ def test_identity_judges_later_documents(spark, tmp_path):
     d = _documents(spark, tmp_path, ["head\nnothing here", f"head\n{shared} one", f"head\ntwo {shared}", f"head\n{shared} one"])
     got = {(r["query_id"], r["candidate_id"]): r["accepted"] for r in engine.QUERIES["identity_cascade_all"](spark, d).collect()}
     assert got == {(1, 2): False, (1, 3): False, (1, 4): False, (2, 3): True, (2, 4): True, (3, 4): True}
+
+
+def test_leave_one_out_asks_every_twentieth(spark, tmp_path):
+    texts = ["filler words only"] * 20
+    texts[6] = texts[19] = "zebracrossing here"
+    d = _documents(spark, tmp_path, texts)
+    got = [(r["request_id"], r["object_id"], r["matched"]) for r in engine.QUERIES["leave_one_out_all"](spark, d).collect()]
+    assert got == [(20, 7, 1)]
+
+
+def test_thread_rollup_takes_every_opening_turn(spark, tmp_path):
+    rows = [(3, 0, "user", "zebracrossing"), (3, 1, "assistant", "a zebracrossing"), (10, 0, "user", "waterfalls")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["thread"]: (r["matched"], r["unit_hits"]) for r in engine.QUERIES["thread_rollup_all"](spark, str(tmp_path)).collect()}
+    assert got == {3000: (1, 2), 10000: (1, 1)}
