@@ -1,5 +1,8 @@
 """Queries that do a whole job which the SQL of an older query covers in part."""
 
+import re
+
+from sleuthwork.functions import fixed as V
 from sleuthwork.plans import queries as engine
 
 
@@ -28,3 +31,17 @@ def test_thread_rollup_takes_every_opening_turn(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["thread"]: (r["matched"], r["unit_hits"]) for r in engine.QUERIES["thread_rollup_all"](spark, str(tmp_path)).collect()}
     assert got == {3000: (1, 2), 10000: (1, 1)}
+
+
+def test_redaction_needs_no_address(spark, tmp_path):
+    texts = ["password: hunter22", "api_key=abc123def x", "secret='s3cr3t!!'", "cookie: abcdefgh", "token: abcdefgh", "ghp_abcdefghijklmnop1234", "sk-abcdefghijklmnop1234 z", "xoxb-1234567890ab",
+             "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2Q", "/home/bob/x and /Users/eve/y", "C:\\Users\\bob\\z", "nothing", "", None, "a@b.org token=abcdefgh"]
+    got = {r["doc_id"]: r["redacted"] for r in engine.QUERIES["redact_documents_all"](spark, _documents(spark, tmp_path, texts)).collect()}
+    want = {}
+    for i, text in enumerate(texts, 1):
+        for pattern, by in V.REDACTIONS:
+            if text is not None:
+                text = re.sub(pattern, re.sub(r"\$(\d)", r"\\g<\1>", by), text)
+        want[i] = text
+    assert got == want
+    assert all(got[i] != t for i, t in enumerate(texts, 1) if t not in ("nothing", "", None))
