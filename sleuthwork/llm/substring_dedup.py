@@ -6,10 +6,16 @@ next to it only. The first 16 bytes of a text end no chunk. A chunk of over 256
 over and over, where the hash repeats as well) is cut before every eighth word and after 65,536 bytes. A chunk's digest is a 64-bit hash of its bytes.
 
 A digest that occurs in two documents (different doc_ids) is repeated; its smallest doc_id keeps it.
-Neighbouring repeated chunks of a document form a span. A span is reported if it has at least
+Neighbouring repeated chunks of a document form a run. A run is reported if it has at least
 ``MIN_RUN`` words and, with the two chunks around it, which hold the ends of the passage that no border
-marks, at least ``PASSAGE`` words. So every passage of over 50 words that two documents share is
-reported, unless no two borders fall into it; repeated lines and phrases of fewer words are not.
+marks, at least ``PASSAGE`` words. It is a span for each part that other documents keep and that is such a
+run by itself, and for each part between those, which stays in the document.
+
+Passages whose borders leave fewer than ``MIN_RUN`` words between them are found word by word: every
+``PASSAGE`` words in a row that hold so few between the first and the last border that they determine
+themselves are hashed as well, and neighbouring ones that another document holds too form a span without
+chunks. Such a span may overlap others of its document. So every passage of over 50 words that two
+documents share is reported; repeated lines and phrases of fewer words are not.
 
 Shuffles: (digest, doc_id) with map-side combining, then the chunks to their digests (a frequent chunk is
 one row on the other side, and the join may be split), then the repeated ones to their documents.
@@ -60,6 +66,12 @@ def borders(raw: np.ndarray) -> np.ndarray:
 
 def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Row, start, stop, digest and words (that begin in it) of every chunk, and hashes of the texts."""
+    return _cut(texts)[0]
+
+
+def _cut(texts: pa.Array, min_run: int = 0, passage: int = 0) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """``chunks``; and row, start, stop, digest and number of the first word of every ``passage`` words that
+    hold fewer than ``min_run`` between the borders they determine (none if ``min_run`` is 0)."""
     raw, off = buffers(texts)
     raw, off = raw[off[0] : off[-1]], off - off[0]
     n = len(raw)
@@ -70,8 +82,9 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     text_hash = hashed(off[:-1], off[1:]).view(np.int64)
     if not n:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, empty, text_hash
+        return (empty, empty, empty, empty, empty, text_hash), (empty,) * 5
     ends = borders(raw)
+    pure = np.flatnonzero(ends)
     size = np.diff(off)
     for i in range(WINDOW):
         ends[(off[:-1] + i)[size > i]] = False
@@ -90,20 +103,35 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     start = np.concatenate([[0], stop[:-1]])
     row = np.searchsorted(off, start, side="right") - 1
     words = np.concatenate([[0], np.cumsum(first)])
-    return row, start, stop, hashed(start, stop).view(np.int64), words[stop] - words[start], text_hash
+    found = row, start, stop, hashed(start, stop).view(np.int64), words[stop] - words[start], text_hash
+    head = np.flatnonzero(first)
+    if not min_run or len(head) < passage:
+        return found, (np.zeros(0, np.int64),) * 5
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    s, e = head[: len(head) - passage + 1], np.flatnonzero(last)[passage - 1 :] + 1
+    of = np.searchsorted(off, s, side="right") - 1
+    # A border depends on the 17 bytes up to it.
+    a, b = np.searchsorted(pure, s + WINDOW), np.searchsorted(pure, e) - 1
+    at = np.append(pure, n - 1) + 1
+    k = np.flatnonzero((e <= off[of + 1]) & ((b <= a) | (words[at[np.maximum(b, 0)]] - words[at[a]] < min_run)))
+    s, e, of = s[k], e[k], of[k]
+    # Not the digest that a chunk of the same bytes has.
+    return found, (of, s, e, mix(hashed(s, e) ^ _P).view(np.int64), k - words[off[of]])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """``digest, first_doc_id`` of the chunks that several documents hold."""
+def repeated(docs: DataFrame, min_run: int = MIN_RUN, passage: int = PASSAGE) -> DataFrame:
+    """``digest, first_doc_id`` of the chunks, and of the passages with few borders, that several documents hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                row, _, _, digest, _, _ = chunks(b.column("text"))
+                (row, _, _, digest, _, _), (of, _, _, sparse, _) = _cut(b.column("text"), min_run, passage)
+                row, digest = np.concatenate([row, of]), np.concatenate([digest, sparse])
                 order = np.lexsort((digest, row))
                 row, digest = row[order], digest[order]
                 once = np.ones(len(row), bool)
@@ -115,9 +143,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     return seen.where("first_doc_id < _last").drop("_last")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, min_run: int = MIN_RUN, passage: int = PASSAGE) -> DataFrame:
     """All chunks of all documents: digest, doc_id, and packed into three numbers the text's hash (32 bits) and
-    the chunk's number; its start and length; the words that begin in it, before it and after it."""
+    the chunk's number; its start and length; the words that begin in it, before it and after it. Passages with
+    few borders as well: the number is their first word's, the last field is less than 0, their length."""
     arrow = arrow_type(CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +154,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             for b in slices(whole, "text"):
                 _, off = buffers(b.column("text"))
                 off = off - off[0]
-                row, start, stop, digest, words, text_hash = chunks(b.column("text"))
+                (row, start, stop, digest, words, text_hash), (of, s, e, sparse, k) = _cut(b.column("text"), min_run, passage)
                 head = np.ones(len(row), bool)
                 head[1:] = row[1:] != row[:-1]
                 tail = np.append(head[1:], True)[: len(row)]
@@ -137,33 +166,80 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 number = (text_hash[row] & np.int64(0xFFFFFFFF)) << np.int64(32) | seq
                 place = (start - off[row]) << np.int64(BITS) | (stop - start)
                 packed = words << np.int64(2 * BITS) | before << np.int64(BITS) | after
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip([digest, ids[row], number, place, packed], arrow, strict=True)], schema=arrow)
+                more = sparse, ids[of], (text_hash[of] & np.int64(0xFFFFFFFF)) << np.int64(32) | k, (s - off[of]) << np.int64(BITS), s - e
+                both = [np.concatenate(c) for c in zip([digest, ids[row], number, place, packed], more, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(both, arrow, strict=True)], schema=arrow)
 
     return _rows(docs).mapInArrow(run, CHUNKS)
 
 
+def _parts(row, doc, number, place, words, first, min_run, passage):
+    """Row, start, stop, words, chunks, first_doc_id and removed of the spans; the input is ordered by row and number."""
+    others = first != doc
+    seq, start = number & np.int64(0xFFFFFFFF), place >> np.int64(BITS)
+    new = lambda r, q, f: np.append(True, (r[1:] != r[:-1]) | (q[1:] != q[:-1] + 1) | (f[1:] != f[:-1]))
+    out = []
+    i = np.flatnonzero(words >= 0)
+    if len(i):
+        r, q, w, begin, size, who = row[i], seq[i], words[i], start[i], place[i] & np.int64(MASK), first[i]
+        own, before, after = w >> np.int64(2 * BITS), w >> np.int64(BITS) & np.int64(MASK), w & np.int64(MASK)
+
+        def long(at):
+            n = np.add.reduceat(own, at)
+            stop = np.append(at[1:], len(i))
+            return np.repeat((n >= min_run) & (n + before[at] + after[stop - 1] >= passage), stop - at)
+
+        none = np.zeros(len(i), bool)
+        kept = long(np.flatnonzero(new(r, q, none)))
+        gone = others[i] & long(np.flatnonzero(new(r, q, others[i])))
+        r, q, own, begin, size, who, gone = (c[kept] for c in (r, q, own, begin, size, who, gone))
+        if len(r):
+            head = new(r, q, gone)
+            at, span = np.flatnonzero(head), np.cumsum(head) - 1
+            stop = np.append(at[1:], len(r))
+            largest = np.lexsort((-who, size, span))[stop - 1]
+            out.append((r[at], begin[at], begin[stop - 1] + size[stop - 1], np.add.reduceat(own, at), stop - at, who[largest], gone[at]))
+    i = np.flatnonzero(words < 0)
+    if len(i):
+        at = np.flatnonzero(new(row[i], seq[i], others[i]))
+        stop = np.append(at[1:], len(i))
+        h, t = i[at], i[stop - 1]
+        out.append((row[h], start[h], start[t] - words[t], passage + stop - at - 1, 0 * at, first[h], others[h]))
+    if not out:
+        return (np.zeros(0, np.int64),) * 6 + (np.zeros(0, bool),)
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+    # What lies within a span of the same kind before it is no span of its own.
+    order = np.lexsort((-cols[2], cols[1], cols[6], cols[0]))
+    cols = [c[order] for c in cols]
+    keep, reach = np.ones(len(order), bool), (None, None, -1)
+    for k, (r, stop, gone) in enumerate(zip(cols[0].tolist(), cols[2].tolist(), cols[6].tolist(), strict=True)):
+        keep[k] = (r, gone) != reach[:2] or stop > reach[2]
+        reach = (r, gone, stop) if keep[k] else reach
+    return tuple(c[keep] for c in cols)
+
+
+SPANS = "doc_id long, text_hash long, span_start long, span_end long, n_words long, n_chunks long, first_doc_id long, removed boolean"
+
+
 def spans(docs: DataFrame, min_run: int = MIN_RUN, passage: int = PASSAGE) -> DataFrame:
-    """A row per repeated passage of a document: doc_id, text_hash, span_start and span_end (bytes of the
-    UTF-8 text), n_words, n_chunks, first_doc_id (who keeps its largest part), removed (someone else does)."""
-    found = occurrences(docs).join(repeated(docs), "digest")
+    """A row per repeated passage of a document, or part of one: doc_id, text_hash, span_start and span_end (bytes
+    of the UTF-8 text), n_words, n_chunks, first_doc_id (who keeps its largest part), removed (someone else does)."""
+    found = occurrences(docs, min_run, passage).join(repeated(docs, min_run, passage), "digest")
     text_hash = F.shiftrightunsigned("number", 32).cast("long")
     item = F.struct("number", "place", "words", "first_doc_id")
     lists = found.groupBy("doc_id", text_hash.alias("text_hash")).agg(F.array_sort(F.collect_set(item)).alias("c"))
-    rows = lists.select("doc_id", "text_hash", F.posexplode("c").alias("i", "x"))
-    seq, place, words = F.col("x.number").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("x.place"), F.col("x.words")
-    # A span begins at a chunk whose predecessor isn't repeated; the chunk's number less its place in
-    # the list is the same within a span.
-    rows = rows.select(
-        "doc_id", "text_hash", (seq - F.col("i")).alias("g"), seq.alias("seq"), F.shiftright(place, BITS).alias("start"), place.bitwiseAND(F.lit(MASK)).alias("size"),
-        F.shiftright(words, 2 * BITS).alias("words"), F.shiftright(words, BITS).bitwiseAND(F.lit(MASK)).alias("before"), words.bitwiseAND(F.lit(MASK)).alias("after"), F.col("x.first_doc_id").alias("first_doc_id"),
-    )
-    keeper = F.struct("size", (-F.col("first_doc_id")).alias("minus"))
-    runs = rows.groupBy("doc_id", "text_hash", "g").agg(
-        F.sum("words").cast("long").alias("n_words"), F.count("*").alias("n_chunks"), F.min("start").alias("span_start"), F.max(F.col("start") + F.col("size")).alias("span_end"),
-        F.min_by("before", "seq").alias("b"), F.max_by("after", "seq").alias("a"), F.max(keeper).alias("k"), F.sum((F.col("first_doc_id") != F.col("doc_id")).cast("int")).alias("others"),
-    )
-    runs = runs.where((F.col("n_words") >= min_run) & (F.col("n_words") + F.col("b") + F.col("a") >= passage))
-    return runs.select("doc_id", "text_hash", "span_start", "span_end", "n_words", "n_chunks", (-F.col("k.minus")).alias("first_doc_id"), (F.col("others") * 2 > F.col("n_chunks")).alias("removed"))
+    arrow = arrow_type(SPANS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("c")
+            row = np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            number, place, words, first = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+            ids, hashes = (b.column(n).to_numpy(zero_copy_only=False) for n in ("doc_id", "text_hash"))
+            r, *cols = _parts(row, ids[row], number, place, words, first, min_run, passage)
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip([ids[r], hashes[r], *cols], arrow, strict=True)], schema=arrow)
+
+    return lists.mapInArrow(run, SPANS)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -197,8 +273,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 if spans_:
                     data, parts, at = texts[r].encode("utf-8"), [], 0
                     for s in spans_:
-                        parts.append(data[at : s["span_start"]])
-                        at = s["span_end"]
+                        parts.append(data[at : max(at, s["span_start"])])
+                        at = max(at, s["span_end"])
                     texts[r] = b"".join([*parts, data[at:]]).decode("utf-8", "ignore")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in fields], schema=arrow_out)
 

@@ -1,0 +1,38 @@
+"""Cases that the training-data operators once did in part."""
+
+import random
+
+from sleuthwork.llm import substring_dedup
+
+
+def _words(rng, n, size=lambda rng: rng.randint(3, 8)):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(size(rng))) for _ in range(n))
+
+
+def test_an_edit_among_copies_is_kept_once(spark):
+    rng = random.Random(1)
+    for t, e in ((300, 80), (80, 300)):
+        text, edit = _words(rng, t), _words(rng, e)
+        docs = spark.createDataFrame([(1, text), (2, f"{text} {edit}"), (3, f"{text} {edit}")], "doc_id long, text string")
+        out = {r["doc_id"]: r["text"].split() for r in substring_dedup.without_repeats(docs).collect()}
+        assert out[1] == text.split() and out[3] == []
+        assert len(out[2]) < e + 15 and out[2][-e + 12 :] == edit.split()[12:]
+
+
+def test_passages_with_few_borders(spark):
+    rng = random.Random(2)
+    rows, hit = [], set()
+    while len(hit) < 20:
+        passage = _words(rng, 51, lambda rng: 4)
+        texts = [f"{_words(rng, 70)} {passage} {_words(rng, 70)}" for _ in range(2)]
+        docs = [(len(rows) + i, t) for i, t in enumerate(texts)]
+        import pyarrow as pa
+
+        row, start, stop, digest, words, _ = substring_dedup.chunks(pa.array(texts))
+        shared = set(digest[row == 0].tolist()) & set(digest[row == 1].tolist())
+        if sum(int(w) for r, d, w in zip(row, digest, words, strict=True) if r == 0 and int(d) in shared) < substring_dedup.MIN_RUN:
+            rows += docs
+            hit |= {d for d, _ in docs}
+    got = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == hit
+    assert all(r["removed"] == (r["doc_id"] % 2 == 1) and r["n_words"] >= 46 for r in got)
