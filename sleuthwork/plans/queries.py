@@ -176,6 +176,13 @@ def best_excerpt(spark, d):
     return retrieval.best_excerpt(units, retrieval.token_hits(units, tokens).select("object_id", "token"))
 
 
+@query(SQL["best_excerpt"].replace(" WHERE length(d.token) >= 14", ""))
+def best_excerpt_all(spark, d):
+    """The excerpt of every hit that token_hits finds."""
+    units = _units(spark, d)
+    return retrieval.best_excerpt(units, retrieval.token_hits(units, _tokens(spark, d)).select("object_id", "token"))
+
+
 _LOO_SQL = HITS_SQL.replace(TOKENS_SQL, "t AS (SELECT doc_id AS request_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{14,}'))) AS token FROM documents WHERE doc_id % 50 = 0)")
 
 

@@ -45,3 +45,9 @@ def test_redaction_needs_no_address(spark, tmp_path):
         want[i] = text
     assert got == want
     assert all(got[i] != t for i, t in enumerate(texts, 1) if t not in ("nothing", "", None))
+
+
+def test_excerpts_of_short_tokens(spark, tmp_path):
+    d = _documents(spark, tmp_path, ["a giraffe walks\ngiraffe"])
+    spark.createDataFrame([(1, "giraffe")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in engine.QUERIES["best_excerpt_all"](spark, d).collect()] == [(1, "giraffe", "giraffe")]
