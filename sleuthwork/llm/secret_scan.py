@@ -1,17 +1,19 @@
 """Secret scans: candidates from whole texts, a random forest to drop false positives. Native.
 
 Candidates are runs of at least ``MIN_LENGTH`` signs ``[A-Za-z0-9_+/-]`` with a digit or a change of case
-inside, found in words (cut at white space), with up to three words before and two after.
+inside, found in words (cut at white space), with up to three words before and two after. So are values of
+six and more signs, whatever they are, that a credential's name and ``=`` or ``:`` stand before (less the signs
+that end a clause), and keys that begin as known services' keys do.
 
 Features: length; transitions between kinds of characters (lower, upper, digit, other) per character;
 shares of digits and upper case; distinct characters; longest run of digits; dictionary coverage (share of
 the characters in words of a small dictionary); neighbouring words that name credentials or that name
-harmless identifiers; an assignment sign or a quote before it; the path's kind (tests and documentation,
+harmless identifiers; an assignment sign or a quote before it; a known key's beginning; the path's kind (tests and documentation,
 configuration), here the source column.
 
 The forest learns from labelled findings: a table (candidate, before, after, path, label) given by the
 caller, at most ``TRAIN_ROWS`` rows of it by a hash, else ``labelled_findings``, which writes such findings
-from rules: random keys beside credential words, against digests, identifiers, numbers, placeholders and
+from rules: random keys and short passwords beside credential words and known services' keys anywhere, against digests, identifiers, numbers, placeholders and
 words beside others. Results hold a digest and a mask of a candidate, never the candidate.
 
 Null text has no candidates. Each repeated row gives its findings again. Null source is an empty path.
@@ -29,6 +31,12 @@ MIN_LENGTH = 16
 TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 24, 7, 5
 RUN = r"[A-Za-z0-9_+/\-]{16,}"
+NAMED = r"(?i)(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|passw(?:or)?d|passwd|pwd|token|authorization|cookie)[\"']?"
+#: A sign put before each value; what stands before a value.
+MARK = "\uE000"
+VALUE = r"[^\s\"'" + MARK + "]{6,}"
+ASSIGNED = "(" + NAMED + r"\s*[:=]\s*[\"']?|(?i:\b(?:bearer|basic))\s+)(?=" + VALUE + ")"
+PREFIXED = r"\b(?:gh[pousr]_[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{16,}|sk[-_][A-Za-z0-9_-]{16,}|xox[abps]-[A-Za-z0-9-]{10,}|A[KS]IA[A-Z0-9]{12,}|AIza[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"
 CREDENTIAL = r"(?i)(token|secret|passw|passwd|pwd|api[_\-]?key|apikey|auth|bearer|credential|private|access[_\-]?key|client[_\-]?key|\bkey\b)"
 HARMLESS = r"(?i)(commit|sha\d*|md5|checksum|digest|fingerprint|hash|version|uuid|guid|\bid\b|etag|revision|build|card|phone|order|invoice|isbn|figure|page|licen[cs]e|see)"
 DICTIONARY = [
@@ -41,9 +49,9 @@ CONFIG_PATH = r"(?i)(\.env|config|settings|\.ya?ml|\.ini|\.toml|\.properties|sec
 
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, path, word_index, candidate, before, after`` of all texts."""
-    words = F.split(F.col("text").cast("string"), r"\s+")
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), words.alias("_w"))
-    worth = lambda w: (F.length(w) >= MIN_LENGTH) & w.rlike(RUN)
+    marked = F.regexp_replace(F.translate(F.col("text").cast("string"), MARK, "\uFFFD"), ASSIGNED, "$1" + MARK)
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.split(marked, r"\s+").alias("_w"))
+    worth = lambda w: (F.length(w) >= 6) & (w.rlike(RUN) | w.contains(MARK) | w.rlike(PREFIXED))
     numbered = F.transform("_w", lambda w, i: F.when(worth(w), i))
     rows = rows.withColumn("_i", F.filter(numbered, lambda i: i.isNotNull())).where(F.size("_i") > 0)
     context = lambda i: F.struct(
@@ -51,10 +59,15 @@ def candidates(docs: DataFrame) -> DataFrame:
         F.array_join(F.slice("_w", F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(3))), " ").alias("left"), F.array_join(F.slice("_w", i + 2, 2), " ").alias("right"),
     )
     rows = rows.select("doc_id", "path", F.explode(F.transform("_i", context)).alias("x")).select("doc_id", "path", "x.*")
-    rows = rows.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(RUN), F.lit(0))))
-    mixed = F.col("candidate").rlike("[0-9]") | F.col("candidate").rlike("[a-z][A-Z]+[a-z]")
-    inside = F.expr("substring_index(word, candidate, 1)")
-    return rows.where(mixed).select("doc_id", "path", F.col("i").cast("long").alias("word_index"), "candidate", F.concat_ws(" ", "left", inside).alias("before"), F.col("right").alias("after"))
+    mixed = lambda c: c.rlike("[0-9]") | c.rlike("[a-z][A-Z]+[a-z]")
+    values = F.transform(F.regexp_extract_all("word", F.lit(f"{MARK}({VALUE})"), F.lit(1)), lambda v: F.regexp_replace(v, r"[.,;:)\]}>=]+$", ""))
+    bare = lambda c: F.translate(c, MARK, "")
+    rows = rows.withColumn("_v", F.filter(values, lambda v: F.length(v) >= 6)).withColumns({n: bare(F.col(n)) for n in ("word", "left", "right")})
+    runs = F.filter(F.regexp_extract_all("word", F.lit(RUN), F.lit(0)), mixed)
+    # Runs count as often as they occur; a value that is one isn't told twice.
+    rows = rows.withColumn("candidate", F.explode(F.concat(runs, F.array_except(F.concat(F.regexp_extract_all("word", F.lit(PREFIXED), F.lit(0)), F.col("_v")), runs))))
+    head = F.expr("substring_index(word, candidate, 1)")
+    return rows.select("doc_id", "path", F.col("i").cast("long").alias("word_index"), "candidate", F.concat_ws(" ", "left", head).alias("before"), F.col("right").alias("after"))
 
 
 def features(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -70,7 +83,7 @@ def features(df: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_other": F.regexp_count(c, F.lit("[^A-Za-z0-9]")) / n, "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / n, "f_run": F.coalesce(digits, F.lit(0)) / n, "f_dictionary": covered / n,
         "f_hex": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")), "f_credential": flag(F.col("before").rlike(CREDENTIAL)), "f_harmless": flag(F.col("before").rlike(HARMLESS)),
         "f_after": flag(F.col("after").rlike(HARMLESS)), "f_assigned": flag(F.col("before").rlike(r"[=:]\s*[\"']?$")), "f_quoted": flag(F.col("before").rlike(r"[\"']$")),
-        "f_test_path": flag(F.col("path").rlike(TEST_PATH)), "f_config_path": flag(F.col("path").rlike(CONFIG_PATH)),
+        "f_prefix": flag(c.rlike("^" + PREFIXED)), "f_test_path": flag(F.col("path").rlike(TEST_PATH)), "f_config_path": flag(F.col("path").rlike(CONFIG_PATH)),
     }
     return df.withColumns(made), list(made)
 
@@ -95,7 +108,21 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     # Placeholders stand beside credential words as well; numbers and words beside any.
     before = F.when(secret | (kind == 6), good).when((kind == 7) & (F.pmod(i, F.lit(32)) < 8), good).otherwise(bad)
     after = F.when(secret, pick("a1", ["", "and more", "\" then", "with"])).otherwise(pick("a2", ["", "of the page", "and so on", "id"]))
-    return spark.range(rows).select(value.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), secret.cast("double").alias("label")).where(F.length("candidate") >= MIN_LENGTH)
+    old = spark.range(rows).select(value.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), secret.cast("double").alias("label")).where(F.length("candidate") >= MIN_LENGTH)
+    # Short passwords and words beside credential words, and known services' keys anywhere.
+    shape = F.pmod(i, F.lit(4))
+    tail = F.substring(F.regexp_replace(F.base64(F.unhex(long_hex)), "[^A-Za-z0-9]", ""), F.lit(1), size)
+    keyed = F.concat(pick("k", ["ghp_", "gho_", "sk_live_", "sk-", "sk-proj-", "xoxb-", "AIza", "github_pat_"]), F.rpad(tail, 20, "x7Q"))
+    keyed = F.when(F.pmod(F.xxhash64(F.lit("aws"), i), F.lit(4)) == 0, F.concat(F.lit("AKIA"), F.upper(F.substring(tail, 1, 16)))).otherwise(keyed)
+    digits = F.substring(F.regexp_replace(long_hex, "[a-f]", ""), F.lit(1), F.pmod(F.xxhash64(F.lit("m"), i), F.lit(4)).cast("int") + 1)
+    password = F.concat(pick("p1", ["hunter", "dragon", "Summer", "qwerty", "Tiger", "abc", "monkey", "letme", "Winter"]), digits, pick("p2", ["", "!", "!x", "#a", "def", "$Q", "xyz"]))
+    short = F.when(F.pmod(i, F.lit(8)) < 4, password).otherwise(F.substring(tail, F.lit(1), F.pmod(F.xxhash64(F.lit("l"), i), F.lit(7)).cast("int") + 7))
+    plain = pick("n", ["required", "missing", "expired", "invalid", "handling", "changes", "section", "before", "string", "example", "placeholder", "changeme", "Bearer", "holder", "number", "<redacted>", "${TOKEN}", "your-password", "settings", "otherwise"])
+    prose = pick("q", ["", "then ", "and then ", "the ", "use ", "we saw ", "see ", "log line "])
+    new = F.when(shape.isin(0, 1), keyed).when(shape == 2, short).otherwise(plain)
+    first = F.when(shape == 0, prose).otherwise(good)
+    more = spark.range(rows // 2).select(new.alias("candidate"), first.alias("before"), pick("a3", ["", "and more", "then", "with", "of the page"]).alias("after"), path.alias("path"), (shape != 3).cast("double").alias("label"))
+    return old.unionByName(more.where(F.length("candidate") >= 6))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
