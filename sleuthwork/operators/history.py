@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -18,18 +19,29 @@ FIX_SUBJECT = r"(?i)\b(fix(e[sd])?|bug|resolve[sd]?|repair|correct|prevent|avoid
 def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, sha``: every commit reachable from a start by parents, itself included.
 
-    A recursive common table expression; each level is a join of the frontier with the parent edges.
+    A frontier is joined with the parent edges until it brings no new (start, sha); each level is written
+    once, so a pair that several paths lead to is met once and neither rows nor levels are limited.
     """
     spark = commits.sparkSession
-    a, b = (f"v{uuid.uuid4().hex}" for _ in range(2))
-    commits.select("sha", F.explode("parents").alias("parent")).createOrReplaceTempView(a)
-    starts.select("start").distinct().createOrReplaceTempView(b)
-    return spark.sql(f"""
-        WITH RECURSIVE up(start, sha) MAX RECURSION LEVEL 10000 AS (
-          SELECT start, start FROM {b}
-          UNION ALL
-          SELECT up.start, e.parent FROM up JOIN {a} e ON e.sha = up.sha)
-        SELECT DISTINCT start, sha FROM up""")
+    # The same folder for all levels: what is known is one table to read.
+    root = f"{_shared(spark)}/sleuthwork/ancestors-{uuid.uuid4().hex}"
+    edges = f"{root}/edges"
+    commits.select("sha", F.explode("parents").alias("parent")).where("parent IS NOT NULL").distinct().write.parquet(edges)
+    edge = spark.read.parquet(edges)
+    levels = [f"{root}/levels/n=0"]
+    starts.select("start", F.col("start").alias("sha")).distinct().write.parquet(levels[0])
+    schema = spark.read.parquet(levels[0]).schema
+    while not spark.read.schema(schema).parquet(levels[-1]).isEmpty():
+        up = spark.read.schema(schema).parquet(levels[-1]).join(edge, "sha").select("start", F.col("parent").alias("sha")).distinct()
+        known = spark.read.schema(schema).parquet(*levels)
+        levels.append(f"{root}/levels/n={len(levels)}")
+        up.join(known, ["start", "sha"], "left_anti").write.parquet(levels[-1])
+    return spark.read.schema(schema).parquet(*levels)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that cuts lineage; a local one only where the setting is absent."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sleuthwork-")
 
 
 def containment(commits: DataFrame, tags: DataFrame, wanted: DataFrame) -> DataFrame:

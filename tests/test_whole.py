@@ -3,6 +3,7 @@
 import re
 
 from sleuthwork.functions import fixed as V
+from sleuthwork.operators import history
 from sleuthwork.plans import queries as engine
 
 
@@ -51,3 +52,11 @@ def test_excerpts_of_short_tokens(spark, tmp_path):
     d = _documents(spark, tmp_path, ["a giraffe walks\ngiraffe"])
     spark.createDataFrame([(1, "giraffe")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in engine.QUERIES["best_excerpt_all"](spark, d).collect()] == [(1, "giraffe", "giraffe")]
+
+
+def test_ancestors_meet_a_merge_once(spark):
+    # 22 merges in a row have 2^22 paths, more than a recursive query's rows.
+    rows = [(f"m{i}", [f"a{i}", f"b{i}"]) for i in range(22)] + [(f"{s}{i}", [f"m{i + 1}"]) for s in "ab" for i in range(22)] + [("m22", [])]
+    commits = spark.createDataFrame(rows, "sha string, parents array<string>")
+    got = history.ancestors(commits, spark.createDataFrame([("m0",)], "start string")).collect()
+    assert len(got) == len({r["sha"] for r in got}) == 67
