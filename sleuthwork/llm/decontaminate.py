@@ -242,8 +242,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    kept = contamination(docs, benchmark).where(F.size("_sw_items") < MIN_ITEMS)
+    """The documents that hold no passage of an item, with their own columns.
+
+    A document goes if ``WINDOW`` words of it in a row are hit, or windows of ``MIN_ITEMS`` items are. So a
+    single item is enough; an item of fewer words, which may be an everyday phrase, isn't by itself.
+    """
+    long = F.exists(F.transform("_sw_hits", lambda x, i: F.when(i % 2 == 1, x - F.get("_sw_hits", i - 1))), lambda n: F.coalesce(n >= WINDOW, F.lit(False)))
+    kept = contamination(docs, benchmark).where(~long & (F.size("_sw_items") < MIN_ITEMS))
     return kept.select(*docs.columns)
 
 
