@@ -1,30 +1,39 @@
 """Sharding by histogram sort: equal bytes in each shard, one exchange.
 
-Rows are ordered by (hash of the text, doc_id, text length), so equal texts stand together. Candidate
+Rows are ordered by (60 bits of the text's MD5, doc_id), so equal texts stand together. Candidate
 boundaries (probes) are counted exactly: one pass sums rows and bytes between neighbouring probes over
-all partitions, and only these sums reach the driver. Each target (a multiple of the mean part size)
-keeps a bracket of keys around it; the next probes cut the brackets, until a probe is within the
-tolerance or a bracket holds one key. A boundary falls inside a group of equal texts only if the
-group is larger than the tolerance; the bracket then goes on within the group, over doc_ids.
+all partitions, and only these sums reach the driver. The first pass takes ``1 << BINS`` even ranges of the
+hash as its probes; each target (a multiple of the mean shard) then keeps the bracket of keys around it, and
+the next probes cut the brackets, until a bracket holds one row or one group of equal texts.
 
-Each shard is cut into ``PARTS`` parts in the same way. The exchange goes to the parts, and a row's
+A target inside a group of at most ``TOLERANCE`` of a shard is moved to the nearer end of the group; in a
+larger group the bracket goes on over doc_ids. So the boundaries are determined by the rows alone, and
+shards differ by no more than the tolerance and a row.
+
+Each shard is cut into ``PARTS`` parts in the same way, but only roughly. The exchange goes to the parts, and a row's
 slot is its rank in its part plus the exact row counts of the parts before it, so no window holds
 more than a part.
 
-Null text: size 1, CRC 0. Null doc_id: before all others. Repeated rows get slots of their own.
+Null text: size 1, CRC 0. Null doc_id: before all others. Repeated rows get slots of their own; rows of one
+text and doc_id are one key, which no boundary cuts. Long texts: a shard may exceed the mean by one row. An
+empty table gives no rows. Of extra columns none is read.
 """
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, shuffle_width
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
-PROBES = 2048
+#: Bits of the hash, and of the first pass's ranges of it.
+BITS, BINS = 60, 14
+PROBES = 1024
 TOLERANCE = 0.01
-ROUNDS = 24
+ROUNDS = 40
 
 Key = tuple[int, int]
 
@@ -34,7 +43,7 @@ def slim(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("d"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long").alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("d"),
     )
 
 
@@ -67,54 +76,72 @@ def boundaries(rows: DataFrame, shards: int, parts: int, law: str = "bytes", tol
     """The ascending keys at which parts begin (but the first), and the rows of every part."""
     weight = "size" if law == "bytes" else "one"
     rows = rows.withColumn("one", F.lit(1).cast("long"))
-    low = rows.agg(F.count("*").alias("n"), F.sum(weight).alias("w"), F.min("d").alias("dl"), F.max("d").alias("dh")).first()
-    total, count = low["w"] or 0, low["n"]
+    shift = BITS - BINS
+    first = rows.groupBy(F.shiftright("h", shift).alias("i")).agg(F.sum(weight).alias("w"), F.count("*").alias("n"), F.min("d").alias("dl"), F.max("d").alias("dh")).collect()
+    total, count = sum(r["w"] for r in first), sum(r["n"] for r in first)
     pieces = shards * parts
     if not count:
         return [], [0] * pieces
-    targets = [total * i // pieces for i in range(1, pieces)]
-    slack = max(1.0, tolerance * total / shards)
-    inner = max(1.0, 0.1 * total / pieces)
-    known: dict[Key, tuple[int, int]] = {(LOW, LOW): (0, 0), (HIGH, HIGH): (total, count)}
-    best: list[tuple[Key, int]] = [((LOW, LOW), 0)] * (pieces - 1)
-    open_: list[int] = list(range(pieces - 1))
-    for step in range(ROUNDS * 2):
+    least, most = min(r["dl"] for r in first), max(r["dh"] for r in first)
+    known: dict[Key, tuple[int, int]] = {(LOW, LOW): (0, 0)}
+    w = n = 0
+    for r in sorted(first, key=lambda r: r["i"]):
+        known[(r["i"] << shift, LOW)] = (w, n)
+        w, n = w + r["w"], n + r["n"]
+        known[((r["i"] + 1) << shift, LOW)] = (w, n)
+    known[(HIGH, HIGH)] = (total, count)
+    slack, inner = tolerance * total / shards, max(1.0, 0.1 * total / pieces)
+    chosen: dict[int, Key] = {}
+    for _ in range(ROUNDS):
         keys = sorted(known)
         sums = [known[k][0] for k in keys]
-        still, probes = [], set()
-        import bisect
-
-        for t in open_:
-            i = bisect.bisect_left(sums, targets[t])  # the first boundary with at least the target below it
-            around = [(keys[j], sums[j]) for j in (i - 1, i) if 0 <= j < len(keys)]
-            best[t] = min(around, key=lambda x: abs(x[1] - targets[t]))
-            near = slack if (t + 1) % parts == 0 else inner
-            lo, hi = keys[max(i - 1, 0)], keys[min(i, len(keys) - 1)]
-            if abs(best[t][1] - targets[t]) <= near or known[hi][1] - known[lo][1] <= 1 or sums[min(i, len(keys) - 1)] == sums[max(i - 1, 0)]:
+        brackets = set()
+        for t in range(1, pieces):
+            if t in chosen:
                 continue
-            still.append((t, lo, hi))
-        brackets = {(lo, hi) for _, lo, hi in still}
+            at = total * t // pieces
+            i = max(1, bisect.bisect_left(sums, at))  # the first boundary with at least the target below it
+            lo, hi = keys[i - 1], keys[i]
+            below, width = at - sums[i - 1], sums[i] - sums[i - 1]
+            near = lo if below <= width - below else hi
+            single = known[hi][1] - known[lo][1] <= 1
+            group = lo[1] == LOW and hi == (lo[0] + 1, LOW) or single and lo[1] == LOW and hi[1] in (LOW, HIGH)
+            if sums[i] == at:
+                chosen[t] = hi
+            elif t % parts and min(below, width - below) <= inner:
+                chosen[t] = near
+            elif group and width <= slack:
+                chosen[t] = near
+            elif single or hi == (lo[0], lo[1] + 1):
+                chosen[t] = hi
+            else:
+                brackets.add((lo, hi))
+        if not brackets:
+            break
+        probes = set()
         for lo, hi in brackets:
             if lo[0] == hi[0] or hi[0] - lo[0] == 1:  # within one hash: doc_ids only lie in their range
-                lo, hi = (lo[0], max(lo[1], low["dl"] - 1) if lo[1] != LOW else low["dl"] - 1 if low["dl"] > LOW else LOW), (hi[0], min(hi[1], low["dh"] + 1) if hi[0] == lo[0] else hi[1])
+                lo, hi = (lo[0], max(lo[1], least - 1 if least > LOW else LOW)), (lo[0], min(hi[1] if hi[0] == lo[0] else HIGH, most + 1))
+                probes.update((lo[0], x) for x in (least, most + 1) if lo[1] < x < hi[1])
             probes.update(_between(lo, hi, max(3, PROBES // len(brackets))))
-        new = sorted(p for p in probes if p not in known)
-        open_ = [t for t, _, _ in still]
-        if not new:
-            break
-        cuts = sorted({*new, *(k for lo, hi in brackets for k in (lo, hi) if k not in ((LOW, LOW), (HIGH, HIGH)))})
+        cuts = sorted({*(p for p in probes if p not in known), *(k for b in brackets for k in b if k not in ((LOW, LOW), (HIGH, HIGH)))})
         got = rows.groupBy(_search(cuts, F.col("h"), F.col("d")).alias("i")).agg(F.sum(weight).alias("w"), F.count("*").alias("n")).collect()
         w, n, at = 0, 0, {r["i"]: (r["w"], r["n"]) for r in got}
         for i, k in enumerate(cuts):
             a, b = at.get(i, (0, 0))
             w, n = w + a, n + b
             known[k] = (w, n)
-    chosen, last = [], (LOW, LOW)
-    for k, _ in best:
+    else:
+        raise RuntimeError("the boundaries were not found")
+    # A part's rough boundary stays between those of its shard.
+    ends = [(LOW, LOW), *(chosen[t] for t in range(parts, pieces, parts)), (HIGH, HIGH)]
+    out, last = [], (LOW, LOW)
+    for t in range(1, pieces):
+        k = chosen[t] if t % parts == 0 else min(max(chosen[t], ends[t // parts]), ends[t // parts + 1])
         last = max(last, k)
-        chosen.append(last)
-    cum = [0, *(known[k][1] for k in chosen), count]
-    return chosen, [b - a for a, b in zip(cum, cum[1:], strict=False)]
+        out.append(last)
+    cum = [0, *(known[k][1] for k in out), count]
+    return out, [b - a for a, b in zip(cum, cum[1:], strict=False)]
 
 
 def shard_documents(rows: DataFrame, shards: int = 16, parts: int | None = None, law: str = "bytes", tolerance: float = TOLERANCE) -> DataFrame:
@@ -140,3 +167,18 @@ def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = materialize(slim(docs), "shard-sizes")
     out = shard_documents(rows, shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same rows in DuckDB (bytes of a character from its code point, CRC-32 byte by byte).
+SQL = r"""
+WITH c AS (SELECT list_transform(range(0, 256), lambda x: list_reduce(list_prepend(x::UBIGINT, list_transform(range(0, 8), lambda y: 0::UBIGINT)), lambda v, y: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)) AS tab),
+b AS (SELECT row_number() OVER () AS row, doc_id, text, flatten(list_transform(list_transform(string_split(coalesce(text, ''), ''), lambda s: ord(s)::BIGINT), lambda p: CASE WHEN p < 128 THEN [p] WHEN p < 2048 THEN [192 + (p >> 6), 128 + p % 64] WHEN p < 65536 THEN [224 + (p >> 12), 128 + (p >> 6) % 64, 128 + p % 64] ELSE [240 + (p >> 18), 128 + (p >> 12) % 64, 128 + (p >> 6) % 64, 128 + p % 64] END)) AS bytes FROM documents),
+d AS (SELECT row, doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h,
+  CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(bytes, lambda y: y::UBIGINT)), lambda v, y: xor(v >> 8, tab[(xor(v, y) % 256 + 1)::BIGINT])), 4294967295::UBIGINT) END::BIGINT AS text_crc32 FROM b, c),
+s AS (SELECT *, sum(size) OVER (ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS lo, (SELECT sum(size) FROM d) AS total FROM d),
+g AS (SELECT h, min(lo) AS a, sum(size) + min(lo) AS z FROM s GROUP BY h),
+t AS (SELECT k, (total * k // 16)::BIGINT AS goal, total FROM (SELECT unnest(range(1, 16)) AS k), (SELECT DISTINCT total FROM s)),
+e AS (SELECT k, CASE WHEN z - a <= 0.01 * total / 16 THEN CASE WHEN goal = z THEN z WHEN goal - a <= z - goal THEN a ELSE z END ELSE goal END AS edge FROM t JOIN g ON g.a < goal AND goal <= g.z),
+p AS (SELECT s.*, (SELECT count(*) FROM e WHERE e.edge <= s.lo)::INT AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, size) - 1 AS slot, NULL::INT AS grown_shard FROM p
+"""
