@@ -9,12 +9,13 @@ Parquet table (Spark's writer commits it, so a lost executor costs a retry only)
 null), uint32 ids per document, uint16 rule pairs, uint32 expansion lengths, uint16 symbols.
 Symbols below 50,257 are ids, the others are rules; a rule only uses symbols before it.
 
-Re-Pair: pairs of neighbours that are at least a 32nd as frequent as the most frequent one (in the last
-round: that occur at least 4 times) get nonterminals, round after round, until the rounds or the 16-bit
-symbols run out. The expansion lengths let ``read_range``
-find an id range in a block without expanding the rest.
+Re-Pair: pairs of neighbours that are at least a 32nd as frequent as the most frequent one get nonterminals,
+round after round, until no pair occurs ``MIN_COUNT`` times or the 16-bit symbols run out. The expansion
+lengths let ``read_range`` find an id range in a block without expanding the rest.
 
-Null text counts as empty: its row has the end id only. Rows with one doc_id are ordered by text.
+Null text counts as empty: its row has the end id only. Rows with one doc_id are ordered by text; repeated
+rows get ids of their own, and null doc_ids come first. A text longer than a block has a block of its own. An
+empty table gives no files' rows. Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ DOC_SCHEMA = "part int, block int, doc_id long, at long, n_tokens long, ids_crc3
 END = 0
 BLOCK_IDS = 1 << 20
 VOCAB = 50_257
-ROUNDS = 5
 MIN_COUNT = 4
 #: Pieces a worker's cache holds; beyond, those that came back least go.
 CACHE_PIECES = 1_000_000
@@ -181,7 +181,7 @@ def repair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rules: list[np.ndarray] = []
     lengths = np.ones(1 << 16, np.int64)
     following = VOCAB
-    for step in range(ROUNDS):
+    while True:
         room = (1 << 16) - following
         if len(seq) < 2 or room < 1:
             break
@@ -189,11 +189,8 @@ def repair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.sort(keys)
         edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1], [True]]))
         counts, values = np.diff(edge), order[edge[:-1]]
-        floor = MIN_COUNT if step == ROUNDS - 1 else max(MIN_COUNT, int(counts.max()) >> 5)
-        often = counts >= floor
+        often = counts >= max(MIN_COUNT, int(counts.max()) >> 5)
         if not often.any():
-            if floor > MIN_COUNT:
-                continue
             break
         counts, values = counts[often], values[often]
         # The pairs' places are looked up in a table of 18-bit hashes: of two pairs with one hash, the
