@@ -3,7 +3,8 @@
 A chunk ends after a byte at which the gear hash of the last 16 bytes falls below a bound (about one byte
 in 26) and did not at the byte before; it depends on those bytes alone, so an insertion moves the borders
 next to it only. The first 16 bytes of a text end no chunk. A chunk of over 256 bytes (such as one word
-over and over, where the hash repeats as well) is cut before every eighth word and after 65,536 bytes. A chunk's digest is a 64-bit hash of its bytes.
+over and over, where the hash repeats as well) is cut before every eighth word and after 65,536 bytes. A chunk's digest is 80 bits of two
+hashes of its bytes: at 100 TB (4e12 chunks) fewer than ten pairs of other chunks are expected to share one.
 
 A digest that occurs in two documents (different doc_ids) is repeated; its smallest doc_id keeps it.
 Neighbouring repeated chunks of a document form a run. A run is reported if it has at least
@@ -17,11 +18,13 @@ themselves are hashed as well, and neighbouring ones that another document holds
 chunks. Such a span may overlap others of its document. So every passage of over 50 words that two
 documents share is reported; repeated lines and phrases of fewer words are not.
 
-Shuffles: (digest, doc_id) with map-side combining, then the chunks to their digests (a frequent chunk is
-one row on the other side, and the join may be split), then the repeated ones to their documents.
+Shuffles: (digest, doc_id) with map-side combining, whose repeated digests are written as a table; then the
+chunks to their digests (a frequent chunk is one row of that table, so adaptive execution may split the join),
+then the repeated ones to their documents.
 
 Null or empty text has no chunks; rows with null doc_id are left alone. Repeated rows (same doc_id and
-text) are one document: their spans are reported once, and do not repeat each other.
+text) are one document: their spans are reported once, and do not repeat each other. Ties of first holders go to the
+smallest doc_id. An empty table has no spans. Columns of the documents pass through ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, _powers, arrow_type, buffers, mix, slices
+from ._common import SPACE, _powers, arrow_type, buffers, materialize, mix, slices
 
 WINDOW = 16
 BOUND = 10
@@ -45,9 +48,10 @@ PASSAGE = 46
 _rng = np.random.Generator(np.random.PCG64(42))
 _GEAR = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MORE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P, _PINV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A chunk in three words: where it is, how long, which one of its text, and words in and around it.
-CHUNKS = "digest long, doc_id long, number long, place long, words long"
+CHUNKS = "digest long, more short, doc_id long, number long, place long, words long"
 BITS = 20
 MASK = (1 << BITS) - 1
 
@@ -66,23 +70,29 @@ def borders(raw: np.ndarray) -> np.ndarray:
 
 def chunks(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Row, start, stop, digest and words (that begin in it) of every chunk, and hashes of the texts."""
-    return _cut(texts)[0]
+    found = _cut(texts)[0]
+    return (*found[:5], found[6])
 
 
 def _cut(texts: pa.Array, min_run: int = 0, passage: int = 0) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """``chunks``; and row, start, stop, digest and number of the first word of every ``passage`` words that
+    """``chunks``, with the further digest before the texts; and row, start, stop, both digests and number of the first word of every ``passage`` words that
     hold fewer than ``min_run`` between the borders they determine (none if ``min_run`` is 0)."""
     raw, off = buffers(texts)
     raw, off = raw[off[0] : off[-1]], off - off[0]
     n = len(raw)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * _powers("p", _P, n), out=sums[1:])
-    inverse = _powers("q", _PINV, n + 1)
-    hashed = lambda s, e: mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+    power, inverse = _powers("p", _P, n), _powers("q", _PINV, n + 1)
+
+    def hashes(table):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(table[raw] * power, out=sums[1:])
+        return lambda s, e: mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+
+    hashed, again = hashes(_BYTES), hashes(_MORE)
+    short = lambda s, e: (again(s, e) >> np.uint64(48)).astype(np.uint16).view(np.int16)
     text_hash = hashed(off[:-1], off[1:]).view(np.int64)
     if not n:
         empty = np.zeros(0, np.int64)
-        return (empty, empty, empty, empty, empty, text_hash), (empty,) * 5
+        return (empty, empty, empty, empty, empty, empty, text_hash), (empty,) * 6
     ends = borders(raw)
     pure = np.flatnonzero(ends)
     size = np.diff(off)
@@ -103,10 +113,10 @@ def _cut(texts: pa.Array, min_run: int = 0, passage: int = 0) -> tuple[tuple[np.
     start = np.concatenate([[0], stop[:-1]])
     row = np.searchsorted(off, start, side="right") - 1
     words = np.concatenate([[0], np.cumsum(first)])
-    found = row, start, stop, hashed(start, stop).view(np.int64), words[stop] - words[start], text_hash
+    found = row, start, stop, hashed(start, stop).view(np.int64), words[stop] - words[start], short(start, stop), text_hash
     head = np.flatnonzero(first)
     if not min_run or len(head) < passage:
-        return found, (np.zeros(0, np.int64),) * 5
+        return found, (np.zeros(0, np.int64),) * 6
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     s, e = head[: len(head) - passage + 1], np.flatnonzero(last)[passage - 1 :] + 1
@@ -117,7 +127,7 @@ def _cut(texts: pa.Array, min_run: int = 0, passage: int = 0) -> tuple[tuple[np.
     k = np.flatnonzero((e <= off[of + 1]) & ((b <= a) | (words[at[np.maximum(b, 0)]] - words[at[a]] < min_run)))
     s, e, of = s[k], e[k], of[k]
     # Not the digest that a chunk of the same bytes has.
-    return found, (of, s, e, mix(hashed(s, e) ^ _P).view(np.int64), k - words[off[of]])
+    return found, (of, s, e, mix(hashed(s, e) ^ _P).view(np.int64), short(s, e), k - words[off[of]])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -125,26 +135,26 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, min_run: int = MIN_RUN, passage: int = PASSAGE) -> DataFrame:
-    """``digest, first_doc_id`` of the chunks, and of the passages with few borders, that several documents hold."""
+    """``digest, more, first_doc_id`` of the chunks, and of the passages with few borders, that several documents hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                (row, _, _, digest, _, _), (of, _, _, sparse, _) = _cut(b.column("text"), min_run, passage)
-                row, digest = np.concatenate([row, of]), np.concatenate([digest, sparse])
-                order = np.lexsort((digest, row))
-                row, digest = row[order], digest[order]
+                (row, _, _, digest, _, more, _), (of, _, _, sparse, less, _) = _cut(b.column("text"), min_run, passage)
+                row, digest, more = np.concatenate([row, of]), np.concatenate([digest, sparse]), np.concatenate([more, less]).astype(np.int16)
+                order = np.lexsort((more, digest, row))
+                row, digest, more = row[order], digest[order], more[order]
                 once = np.ones(len(row), bool)
-                once[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])
+                once[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1]) | (more[1:] != more[:-1])
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(digest[once]), pa.array(ids[row[once]])], names=["digest", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest[once]), pa.array(more[once]), pa.array(ids[row[once]])], names=["digest", "more", "doc_id"])
 
-    seen = _rows(docs).mapInArrow(run, "digest long, doc_id long").groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"))
+    seen = _rows(docs).mapInArrow(run, "digest long, more short, doc_id long").groupBy("digest", "more").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"))
     return seen.where("first_doc_id < _last").drop("_last")
 
 
 def occurrences(docs: DataFrame, min_run: int = MIN_RUN, passage: int = PASSAGE) -> DataFrame:
-    """All chunks of all documents: digest, doc_id, and packed into three numbers the text's hash (32 bits) and
+    """All chunks of all documents: both digests, doc_id, and packed into three numbers the text's hash (32 bits) and
     the chunk's number; its start and length; the words that begin in it, before it and after it. Passages with
     few borders as well: the number is their first word's, the last field is less than 0, their length."""
     arrow = arrow_type(CHUNKS)
@@ -154,7 +164,7 @@ def occurrences(docs: DataFrame, min_run: int = MIN_RUN, passage: int = PASSAGE)
             for b in slices(whole, "text"):
                 _, off = buffers(b.column("text"))
                 off = off - off[0]
-                (row, start, stop, digest, words, text_hash), (of, s, e, sparse, k) = _cut(b.column("text"), min_run, passage)
+                (row, start, stop, digest, words, more, text_hash), (of, s, e, sparse, less, k) = _cut(b.column("text"), min_run, passage)
                 head = np.ones(len(row), bool)
                 head[1:] = row[1:] != row[:-1]
                 tail = np.append(head[1:], True)[: len(row)]
@@ -166,8 +176,8 @@ def occurrences(docs: DataFrame, min_run: int = MIN_RUN, passage: int = PASSAGE)
                 number = (text_hash[row] & np.int64(0xFFFFFFFF)) << np.int64(32) | seq
                 place = (start - off[row]) << np.int64(BITS) | (stop - start)
                 packed = words << np.int64(2 * BITS) | before << np.int64(BITS) | after
-                more = sparse, ids[of], (text_hash[of] & np.int64(0xFFFFFFFF)) << np.int64(32) | k, (s - off[of]) << np.int64(BITS), s - e
-                both = [np.concatenate(c) for c in zip([digest, ids[row], number, place, packed], more, strict=True)]
+                rest = sparse, less, ids[of], (text_hash[of] & np.int64(0xFFFFFFFF)) << np.int64(32) | k, (s - off[of]) << np.int64(BITS), s - e
+                both = [np.concatenate(c) for c in zip([digest, more, ids[row], number, place, packed], rest, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(both, arrow, strict=True)], schema=arrow)
 
     return _rows(docs).mapInArrow(run, CHUNKS)
@@ -224,7 +234,7 @@ SPANS = "doc_id long, text_hash long, span_start long, span_end long, n_words lo
 def spans(docs: DataFrame, min_run: int = MIN_RUN, passage: int = PASSAGE) -> DataFrame:
     """A row per repeated passage of a document, or part of one: doc_id, text_hash, span_start and span_end (bytes
     of the UTF-8 text), n_words, n_chunks, first_doc_id (who keeps its largest part), removed (someone else does)."""
-    found = occurrences(docs, min_run, passage).join(repeated(docs, min_run, passage), "digest")
+    found = occurrences(docs, min_run, passage).join(materialize(repeated(docs, min_run, passage), "repeated"), ["digest", "more"])
     text_hash = F.shiftrightunsigned("number", 32).cast("long")
     item = F.struct("number", "place", "words", "first_doc_id")
     lists = found.groupBy("doc_id", text_hash.alias("text_hash")).agg(F.array_sort(F.collect_set(item)).alias("c"))
@@ -248,7 +258,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` whose removed spans are cut out of the texts (columns unchanged)."""
+    """``docs`` whose removed spans are cut out of the texts (columns unchanged). A character of which a span
+    holds a part only stays whole."""
     cut = spans(docs).where("removed").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("_sw_cuts"))
     fields = docs.columns
     schema_in = docs.schema
@@ -273,9 +284,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 if spans_:
                     data, parts, at = texts[r].encode("utf-8"), [], 0
                     for s in spans_:
-                        parts.append(data[at : max(at, s["span_start"])])
-                        at = max(at, s["span_end"])
-                    texts[r] = b"".join([*parts, data[at:]]).decode("utf-8", "ignore")
+                        begin, end = s["span_start"], s["span_end"]
+                        while begin < len(data) and data[begin] & 0xC0 == 0x80:
+                            begin += 1
+                        while begin < end < len(data) and data[end] & 0xC0 == 0x80:
+                            end -= 1
+                        parts.append(data[at : max(at, begin)])
+                        at = max(at, end)
+                    texts[r] = b"".join([*parts, data[at:]]).decode("utf-8")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in fields], schema=arrow_out)
 
     hashed = docs.to(T.StructType(hashed_schema.fields[:-1])).mapInArrow(add, hashed_schema)
