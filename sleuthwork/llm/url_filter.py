@@ -1,18 +1,19 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features. Native.
 
 A rule's verdict stands where a rule fits; the trees judge the other URLs. They learn from labelled URLs:
-a table (url, label: 1 block, 0 allow) that the caller gives, else the pages themselves, labelled by the
-seed words ``SEEDS`` in their hosts. They are fitted on a bounded sample of it: rows below a bound on a
-hash of the URL, about ``TRAIN_ROWS``. No feature sees the seed words, so hosts of the same kind without
-one are judged by their form.
+a table (url, label: 1 block, 0 allow) that the caller gives. ``pages`` has none, so the query labels the
+pages themselves by the seed words ``SEEDS`` in their hosts: weak labels, which the README gives figures for.
+The trees are fitted on a bounded sample: rows below a bound on a hash of the URL, about ``TRAIN_ROWS``.
 
 Features: lengths of URL, host and path, labels of the host, depth of the path, ratios of digits and
 of other signs, entropy of the characters, number of parameters, whether it has a fragment, hyphens,
-and smoothed block rates of the host's suffix, of the first path part, of both together and of the
-host's third label from the end (statistics over all labelled URLs).
+and smoothed block rates of the host's suffix, of the first path part and of both together. The rates are of
+all labelled URLs of *other* hosts, so neither a row's label nor its host's is in its features; no
+feature has words of the host.
 
-Null url or one without ``://``: host and path are empty. Without labelled URLs of both verdicts the
-trees are left out: the one verdict seen, else ``allow``, is given. Repeated rows get a row each.
+Null or empty url, or one without ``://``: host and path are empty. Long URLs count whole. Without labelled URLs
+of both verdicts the trees are left out: the one verdict seen, else ``allow``, is given. Repeated rows get a row
+each, an empty table none. Of extra columns none is read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 12, 4, 11
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffix statistics: a group without rows has the overall rate, ``PRIOR`` rows strong.
-GROUPS = {"suffix": ["_suffix"], "part": ["_part"], "both": ["_suffix", "_part"], "head": ["_head"]}
+GROUPS = {"suffix": ["_suffix"], "part": ["_part"], "both": ["_suffix", "_part"]}
 PRIOR = 10.0
 
 
@@ -79,7 +80,7 @@ def lexical(df: DataFrame) -> DataFrame:
     count = lambda pattern, col=url: F.regexp_count(col, F.lit(pattern)).cast("double")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     return df.select(
-        "*", F.substring_index(host, ".", -1).alias("_suffix"), F.regexp_extract(path, r"^/([^/]*)", 1).alias("_part"), F.substring_index(F.substring_index(host, ".", -3), ".", 1).alias("_head"),
+        "*", F.substring_index(host, ".", -1).alias("_suffix"), F.regexp_extract(path, r"^/([^/]*)", 1).alias("_part"),
         F.length(url).cast("double").alias("f_length"), F.length(host).cast("double").alias("f_host"), F.length(path).cast("double").alias("f_path"), count(r"[^.]+", host).alias("f_labels"),
         count(r"[^/]+", path).alias("f_depth"), (count(r"[0-9]") / n).alias("f_digits"), (count(r"[^0-9A-Za-z/.:]") / n).alias("f_signs"), _entropy(url).alias("f_entropy"),
         F.when(query == "", 0.0).otherwise(count(r"&", query) + 1).alias("f_params"), count(r"#").alias("f_fragment"), count(r"-", host).alias("f_hyphens"),
@@ -109,12 +110,19 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple
         usual = "block" if blocked else "allow"
         return made.select(*plain, F.coalesce("_ruled", F.lit(usual)).alias("verdict"), F.lit(float(bool(blocked))).alias("block_score"))
     base = blocked / n
-    rates = {name: known.groupBy(*keys).agg(((F.sum("label") + PRIOR * base) / (F.count("*") + PRIOR)).alias(f"g_{name}")) for name, keys in GROUPS.items()}
+    # Counts by host, suffix and path part: a group's rate for a row leaves the row's own host out.
+    per = materialize(known.groupBy("host", "_suffix", "_part").agg(F.count("*").alias("n"), F.sum("label").alias("b")), "url-hosts")
+    counts = lambda name, keys: per.groupBy(*keys).agg(F.sum("n").alias(f"n_{name}"), F.sum("b").alias(f"b_{name}"))
+    groups = {name: counts(name, keys) for name, keys in GROUPS.items()}
+    own = {"suffix": counts("own_suffix", ["host"]), "part": per.select("host", "_suffix", "_part", F.col("n").alias("n_own_part"), F.col("b").alias("b_own_part"))}
     features = [c for c in made.columns if c.startswith("f_")] + [f"g_{name}" for name in GROUPS]
 
     def ready(df: DataFrame) -> DataFrame:
+        df = df.join(own["suffix"], ["host"], "left").join(own["part"], ["host", "_suffix", "_part"], "left")
         for name, keys in GROUPS.items():
-            df = df.join(rates[name], keys, "left").withColumn(f"g_{name}", F.coalesce(f"g_{name}", F.lit(base)))
+            mine = "own_suffix" if name == "suffix" else "own_part"
+            rest = lambda c: F.coalesce(f"{c}_{name}", F.lit(0)) - F.coalesce(f"{c}_{mine}", F.lit(0))  # noqa: B023, E731
+            df = df.join(groups[name], keys, "left").withColumn(f"g_{name}", (rest("b") + PRIOR * base) / (rest("n") + PRIOR))
         return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
 
     # Both verdicts are sampled, each about in proportion to the root of its rows, so a rare one is seen.
