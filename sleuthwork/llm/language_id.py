@@ -2,7 +2,8 @@
 
 Training. For each label a sample of texts is taken from rows whose ``crc32(doc_id) mod 3`` is not 1:
 rows in the order of a hash of doc_id, until ``SAMPLE_BYTES`` are reached (a documented bound; each text
-gives at most ``TEXT_BYTES``). Every label's sample becomes a suffix automaton over classes of bytes.
+gives at most its first ``TEXT_CHARS`` characters). Every label's sample becomes a suffix automaton over classes
+of bytes, of at most 2 * ``SAMPLE_BYTES`` states; a worker needs 40 MB a label at most.
 
 Prediction. A text is parsed into phrases: each is the longest match of what is left in the automaton
 (a byte that the sample lacks is a phrase of its own). A language's cost is its number of phrases times
@@ -14,7 +15,8 @@ of the text counts.
 languages; the evidence grows with the length of the text, so short texts score lower.
 
 ``und`` with score 0: text that is null or has no letter, or no label to learn from.
-Only text is an input of a prediction. Extra columns pass through ``identify``.
+Only text is an input of a prediction. Repeated rows are judged alike, an empty table gives no rows. Extra
+columns pass through ``identify``.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 from ._common import arrow_type, buffers, claim, slices
 
 SAMPLE_BYTES = 96 << 10
-TEXT_BYTES = 4 << 10
+TEXT_CHARS = 4 << 10
 SAMPLE_ROWS = 2_000
 LANE = 256
 EVIDENCE = 0.05
@@ -172,13 +174,10 @@ def samples(docs: DataFrame) -> dict[str, bytes]:
     """
     order = F.xxhash64(F.lit("language"), F.col("doc_id"))
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    ranked = usable.select(F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, TEXT_BYTES).alias("text"), order.alias("h"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"))
+    ranked = usable.select(F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, TEXT_CHARS).alias("text"), order.alias("h"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"))
     # About as many rows of each label as the sample needs, by a bound on the hash.
-    counts = {r["lang"]: r["c"] for r in usable.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("c")).collect()}
-    share = F.lit(None)
-    for name, c in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(float(min(1.0, 2.0 * SAMPLE_ROWS / c)))).otherwise(share)
-    near = ranked.where(F.pmod("h", F.lit(1 << 30)) < share.cast("double") * float(1 << 30))
+    counts = usable.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("_sw_c"))
+    near = ranked.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.least(F.lit(1.0), 2.0 * SAMPLE_ROWS / F.col("_sw_c")) * float(1 << 30)).drop("_sw_c")
     w = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "d", "text")
     rows = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SAMPLE_ROWS)
     # Rows go on while the bytes before them are below the bound.
