@@ -1,7 +1,7 @@
 """Secret scans: candidates from whole texts, a random forest to drop false positives. Native.
 
-Candidates are runs of at least ``MIN_LENGTH`` signs ``[A-Za-z0-9_+/-]`` with a digit or a change of case
-inside, found in words (cut at white space), with up to three words before and two after. So are values of
+Candidates are runs of at least ``MIN_LENGTH`` signs ``[A-Za-z0-9_+/-]`` with a digit, a change of case
+inside or capitals only, found in words (cut at white space), with up to three words before and two after. So are values of
 six and more signs, whatever they are, that a credential's name and ``=`` or ``:`` stand before (less the signs
 that end a clause), and keys that begin as known services' keys do.
 
@@ -16,7 +16,9 @@ caller, at most ``TRAIN_ROWS`` rows of it by a hash, else ``labelled_findings``,
 from rules: random keys and short passwords beside credential words and known services' keys anywhere, against digests, identifiers, numbers, placeholders and
 words beside others. Results hold a digest and a mask of a candidate, never the candidate.
 
-Null text has no candidates. Each repeated row gives its findings again. Null source is an empty path.
+Null text has no candidates. Each repeated row gives its findings again; ties of score are not broken, as rows
+stand by themselves. Null source is an empty path. Long texts are read whole; an empty table has no findings. Of
+extra columns none is read.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         F.array_join(F.slice("_w", F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(3))), " ").alias("left"), F.array_join(F.slice("_w", i + 2, 2), " ").alias("right"),
     )
     rows = rows.select("doc_id", "path", F.explode(F.transform("_i", context)).alias("x")).select("doc_id", "path", "x.*")
-    mixed = lambda c: c.rlike("[0-9]") | c.rlike("[a-z][A-Z]+[a-z]")
+    mixed = lambda c: c.rlike("[0-9]") | c.rlike("[a-z][A-Z]+[a-z]") | c.rlike("^[A-Z]+$")
     values = F.transform(F.regexp_extract_all("word", F.lit(f"{MARK}({VALUE})"), F.lit(1)), lambda v: F.regexp_replace(v, r"[.,;:)\]}>=]+$", ""))
     bare = lambda c: F.translate(c, MARK, "")
     rows = rows.withColumn("_v", F.filter(values, lambda v: F.length(v) >= 6)).withColumns({n: bare(F.col(n)) for n in ("word", "left", "right")})
