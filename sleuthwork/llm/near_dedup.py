@@ -28,6 +28,9 @@ Steps.
    known connection is paid for.
 5. Components by alternating large-star and small-star steps over the links between components so far.
 
+An empty table gives no rows; long texts are read whole; of the documents' other columns none is read, and
+``deduplicated`` lets them pass.
+
 Nulls: null text is the empty set; rows with null doc_id join their equal sets (component_id is null if
 all of a set's rows have none, and such sets get no other links). Repeated rows and rows that share a doc_id have the same rows as any copy would.
 """
@@ -42,14 +45,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, Words, arrow_type, claim, distinct_sorted, materialize, mix, slices
+from ._common import SPACE, Words, arrow_type, claim, discard, distinct_sorted, materialize, mix, slices
 
 SHINGLE = 5
 SIMILARITY = 75
 HALVES = 16
 ROWS = 2
 MAX_ROUNDS = 8
-FILTER_BITS = 1 << 26
+#: Bits of the filter per member, and the most there are: with more members the rows are joined without it.
+FILTER_SHARE, FILTER_BITS = 10, 1 << 27
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _MUL = _rng.integers(1, 2**63, HALVES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,39 +130,43 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, edges = edges, materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old)
         after = mark(edges)
         if after == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            return edges.withColumnsRenamed({"u": "node", "v": "label"})
         before = after
 
 
-def _bloom_places(ids: np.ndarray) -> np.ndarray:
+def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
     x = ids.astype(np.int64).view(np.uint64)
-    return np.stack([mix(x + np.uint64(k * 0x51ED27 + 1)) % np.uint64(FILTER_BITS) for k in range(3)]).astype(np.int64)
+    return np.stack([mix(x + np.uint64(k * 0x51ED27 + 1)) % np.uint64(bits) for k in range(3)]).astype(np.int64)
 
 
 def _maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) without most rows whose doc_id isn't in ``ids``.
 
-    A Bloom filter of a fixed number of bits; its words are or-ed on the executors. At most
-    ``FILTER_BITS`` / 64 words reach the driver, however many ids there are.
+    A Bloom filter with ``FILTER_SHARE`` bits an id (one other row in 60 stays); its words are or-ed on the
+    executors. At most ``FILTER_BITS`` / 64 words reach the driver; where more would be needed, no row is left out.
     """
+    bits = 1 << max(12, (FILTER_SHARE * ids.count()).bit_length())
+    if bits > FILTER_BITS:
+        return docs.where(F.col("doc_id").isNotNull())
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = _bloom_places(b.column("id").drop_null().to_numpy(zero_copy_only=False)).ravel()
+            p = _bloom_places(b.column("id").drop_null().to_numpy(zero_copy_only=False), bits).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(p >> 6), pa.array((np.uint64(1) << (p & 63).astype(np.uint64)).view(np.int64))], names=["w", "bits"])
 
     words = ids.select(F.col("doc_id").alias("id")).mapInArrow(places, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table = np.zeros(bits // 64, np.uint64)
     table[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     arrow = arrow_type("doc_id long, text string")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = _bloom_places(b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
+            p = _bloom_places(b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), bits)
             hit = ((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
             if hit.any():
                 yield b.filter(pa.array(hit)).cast(arrow)
@@ -283,6 +291,7 @@ def labels(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     base = materialize(kept.select("node", "n", "own", F.explode(_tables("keys")).alias("table")), "buckets")
     tested = known = None
     first_joined, last = 0, False
+    held = [alive, bodies, base]
     x, y = (F.struct(*[F.col(f"{side}.{c}") for c in ("node", "n", "own", "label")]) for side in "xy")
     possible = _possible(x["n"], x["own"], y["n"], y["own"]) & (x["label"] != y["label"])
     for step in range(MAX_ROUNDS):
@@ -294,13 +303,15 @@ def labels(docs: DataFrame, found: DataFrame) -> DataFrame | None:
         center = rows.groupBy("table").agg(F.min(F.struct(order.alias("h"), F.struct("node", "n", "own", "label").alias("y"))).alias("z"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         center = center.where("lo <> hi").select("table", "z.y.*")
         if last:
-            pairs = prefix_pairs(materialize(rows.join(center.select("table"), "table").select("node", "n", "label").distinct(), "left"), bodies)
+            held.append(materialize(rows.join(center.select("table"), "table").select("node", "n", "label").distinct(), "left"))
+            pairs = prefix_pairs(held[-1], bodies)
         else:
             both = rows.alias("x").join(center.alias("y"), (F.col("x.table") == F.col("y.table")) & possible)
             pairs = both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         judged = materialize(verify(pairs, bodies), "judged")
+        held.append(judged)
         tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
         joined = judged.where("linked").count()
         if joined:
@@ -319,6 +330,7 @@ def labels(docs: DataFrame, found: DataFrame) -> DataFrame | None:
             break
         first_joined = first_joined or joined
         last = joined * 20 <= first_joined or step == MAX_ROUNDS - 2
+    discard(*held)
     return known
 
 
