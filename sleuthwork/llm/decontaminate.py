@@ -7,12 +7,14 @@ documents. A match at word i of a shingle that stands at place p of the window p
 i - p (positional bound); the window must fit between there and the document's end (length bound).
 Proposals are verified word by word, first by hash, then by bytes.
 
-The benchmark is dealt to blocks of at most ``BLOCK_BYTES`` of text; one block is broadcast to a pass
-over the documents, and passes are chained in one narrow stage. So no size of the benchmark breaks the
-bound, and the documents are never shuffled.
+The benchmark is dealt to blocks of at most ``BLOCK_BYTES`` of text (about 70 bytes a word of it in memory); one
+block is broadcast to a pass over the documents, and passes are chained in one narrow stage. So no size of the
+benchmark breaks the bound, and the documents are never shuffled. A benchmark of 20 MB takes three blocks.
 
 Null text has no words and is not contaminated; an item without words has no window; items with one id
-count once; a null item_id counts as the empty string. Columns of the documents pass through.
+count once; a null item_id counts as the empty string. Of the shingles of a window that are equally rare the
+first is joined. Long texts are read whole, repeated rows get a row each, an empty table none (and an empty
+benchmark hits nothing). Columns of the documents pass through; names that begin with ``_sw_`` are kept.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from ._common import PUNCT, Words, _powers, arrow_type, claim, mix, slices
 WINDOW = 8
 SHINGLE = 3
 MIN_ITEMS = 2
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:
@@ -64,48 +66,59 @@ class Table:
 
 
 class Windows:
-    """The distinct windows of a block of items."""
+    """The distinct windows of a block of items: where each stands in the items' words, and who owns it."""
 
     def __init__(self, ids: list[str], texts: list[str]):
         w = Words(pa.array(texts, pa.string()), PUNCT)
-        found: dict[tuple, int] = {}
-        owners: list[set[str]] = []
-        self.hashes: list[np.ndarray] = []
-        for r, name in enumerate(ids):
-            s, e = int(w.bounds[r]), int(w.bounds[r + 1])
-            n = min(WINDOW, e - s)
-            for i in range(s, e - n + 1) if n else ():
-                words = tuple(w.raw[w.start[j] : w.end[j]].tobytes().lower() for j in range(i, i + n))
-                k = found.setdefault(words, len(found))
-                if k == len(owners):
-                    owners.append(set())
-                    self.hashes.append(w.hash[i : i + n])
-                owners[k].add(name)
-        self.words, self.owners = list(found), [sorted(o) for o in owners]
-        self.size = np.array([len(x) for x in self.words], np.int64)
-        self.padded = np.zeros((len(self.words), WINDOW), np.uint64)
-        for k, h in enumerate(self.hashes):
-            self.padded[k, : len(h)] = h
-        #: Shingle hashes of window k are shingles[k], from place 0 on.
-        self.shingles = [runs(h, min(SHINGLE, len(h))) for h in self.hashes]
-        self.table = Table(np.concatenate(self.shingles) if self.shingles else np.zeros(0, np.uint64))
-        self.lengths = sorted({min(SHINGLE, int(n)) for n in self.size})
-        del self.hashes
-
-    def choose(self, frequency: dict[int, int]) -> None:
+        self.raw, self.begin, self.end, self.hash = w.raw.tobytes().lower(), w.start, w.end, w.hash
+        self.names, owner = np.unique(np.array(ids, object).astype(str), return_inverse=True) if ids else (np.zeros(0, str), np.zeros(0, np.int64))
+        words = np.diff(w.bounds)
+        n = np.minimum(WINDOW, words)
+        many = np.where(words > 0, words - n + 1, 0)
+        row = np.repeat(np.arange(len(words)), many)
+        start = w.bounds[row] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        size = n[row]
+        # Two hashes of a window's words; equal windows are one.
+        low, high = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+        for j in range(WINDOW):
+            k = np.flatnonzero(size > j)
+            h = self.hash[start[k] + j]
+            low[k], high[k] = mix(low[k] + h), mix(high[k] ^ (h * np.uint64(0x9E3779B97F4A7C15)))
+        order = np.lexsort((start, high, low, size))
+        fresh = np.ones(len(order), bool)
+        o = order
+        fresh[1:] = (low[o[1:]] != low[o[:-1]]) | (high[o[1:]] != high[o[:-1]]) | (size[o[1:]] != size[o[:-1]])
+        #: First word and number of words of each window.
+        self.start, self.size = start[o[fresh]], size[o[fresh]]
+        pair = np.unique((np.cumsum(fresh) - 1) * max(1, len(self.names)) + owner[row[o]]) if len(o) else np.zeros(0, np.int64)
+        self.owner, self.owners = pair % max(1, len(self.names)), np.searchsorted(pair // max(1, len(self.names)), np.arange(len(self.start) + 1))
+        self.runs = {k: runs(self.hash, k) for k in range(1, SHINGLE + 1)}
+        self.lengths = sorted({min(SHINGLE, int(k)) for k in np.unique(self.size)})
+        self.table = Table(np.concatenate([np.zeros(0, np.uint64), *(self._shingles(k).ravel() for k in np.unique(self.size).tolist())]))
+
+    def _shingles(self, size: int) -> np.ndarray:
+        """Hashes of the shingles of the windows of a size, a row each."""
+        k = min(SHINGLE, size)
+        return self.runs[k][self.start[self.size == size][:, None] + np.arange(size - k + 1)]
+
+    def items(self, k: int) -> list[str]:
+        return self.names[self.owner[self.owners[k] : self.owners[k + 1]]].tolist()
+
+    def choose(self, slots: np.ndarray, counts: np.ndarray) -> None:
         """Keep the rarest shingle of each window as the one that is joined."""
-        values = self.table.values
-        place, key = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.uint64)
-        for k, s in enumerate(self.shingles):
-            df = [frequency.get(int(i), 0) for i in np.searchsorted(values, s)]
-            place[k] = int(np.argmin(df))
-            key[k] = s[place[k]]
+        often = np.zeros(len(self.table.values), np.int64)
+        often[slots] = counts
+        place, key = np.zeros(len(self.size), np.int64), np.zeros(len(self.size), np.uint64)
+        for size in np.unique(self.size).tolist():
+            mine = self._shingles(size)
+            best = often[np.searchsorted(self.table.values, mine)].argmin(axis=1)
+            place[self.size == size], key[self.size == size] = best, mine[np.arange(len(mine)), best]
         self.prefix = Table(key)
         order = np.argsort(key, kind="stable")
         self.by_key, self.place = order, place
         self.first = np.searchsorted(key[order], self.prefix.values)
         self.count = np.diff(np.append(self.first, len(order)))
-        self.shingles = []
+        self.runs = self.table = None
 
 
 def _matches(w: Words, table: Table, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +133,8 @@ def _matches(w: Words, table: Table, lengths: list[int]) -> tuple[np.ndarray, np
     return np.concatenate(at), np.concatenate(slot)
 
 
-def _frequencies(docs: DataFrame, block) -> dict[int, int]:
-    """Documents that hold each shingle of the block, by its slot."""
+def _frequencies(docs: DataFrame, block) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the block's shingles, and how many documents hold each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
@@ -139,7 +152,8 @@ def _frequencies(docs: DataFrame, block) -> dict[int, int]:
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     got = texts.mapInArrow(count, "slot long, df long").groupBy("slot").agg(F.sum("df").alias("df"))
-    return {r["slot"]: r["df"] for r in got.collect()}  # at most one row a shingle of the block
+    got = got.toPandas()  # at most one row a shingle of the block
+    return got["slot"].to_numpy(np.int64), got["df"].to_numpy(np.int64)
 
 
 def _join(batch: pa.RecordBatch, win: Windows) -> tuple[list, list, np.ndarray]:
@@ -156,20 +170,20 @@ def _join(batch: pa.RecordBatch, win: Windows) -> tuple[list, list, np.ndarray]:
     same = np.ones(len(start), bool)
     for j in range(WINDOW):
         inside = np.flatnonzero(same & (win.size[which] > j))
-        same[inside] = w.hash[start[inside] + j] == win.padded[which[inside], j]
+        same[inside] = w.hash[start[inside] + j] == win.hash[win.start[which[inside]] + j]
     start, which, row = start[same], which[same], row[same]
     hits: list = [None] * w.rows
     items: list = [None] * w.rows
     if len(start):
         for i in range(len(start)):
             s, k, r = int(start[i]), int(which[i]), int(row[i])
-            size = int(win.size[k])
-            if all(w.raw[w.start[s + j] : w.end[s + j]].tobytes().lower() == win.words[k][j] for j in range(size)):
+            size, t = int(win.size[k]), int(win.start[k])
+            if all(w.raw[w.start[s + j] : w.end[s + j]].tobytes().lower() == win.raw[win.begin[t + j] : win.end[t + j]] for j in range(size)):
                 hits[r] = hits[r] or []
                 items[r] = items[r] or set()
                 a = s - int(w.bounds[r])
                 hits[r].append((a, a + size))
-                items[r].update(win.owners[k])
+                items[r].update(win.items(k))
     return hits, items, n
 
 
@@ -223,7 +237,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         win = Windows([r["item_id"] for r in rows], [r["text"] for r in rows])
         first = spark.sparkContext.broadcast(win)
-        win.choose(_frequencies(docs, first))
+        win.choose(*_frequencies(docs, first))
         first.unpersist()
         out = _pass(out, spark.sparkContext.broadcast(win))
     return out.drop("_sw_text")
