@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_document_fingerprints": fingerprints.SQL, "op2_near_dedup": near_dedup.SQL, "op4_decontamination": decontaminate.SQL}
+    return {"op1_document_fingerprints": fingerprints.SQL, "op2_near_dedup": near_dedup.SQL, "op4_decontamination": decontaminate.SQL, "op8_sharding": sharding.SQL, "op9_mixing": mixing.SQL}
