@@ -124,3 +124,38 @@ REF_KINDS = {"discussions": "discussion", "issues": "issue", "pull": "pull_reque
 
 # The version of mined features.
 FEATURE_EXTRACTOR_VERSION = 16
+
+# File names and folders that name no place by themselves, and paths in prose.
+GENERIC_BASENAMES = ["index.ts", "index.tsx", "index.js", "index.mjs", "index.cjs", "types.ts", "utils.ts", "util.ts", "main.ts", "main.js", "mod.ts", "package.json", "tsconfig.json", "readme.md", "__init__.py", "setup.py", "constants.ts", "helpers.ts"]
+GENERIC_DIRS = ["src", "lib", "dist", "build", "tests", "test", "packages", "apps"]
+PATH_SUFFIXES = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".rs", ".go", ".java", ".c", ".cc", ".cpp", ".h"]
+PATH_IN_TEXT = r"([\w.@-]+(?:[/\\][\w.@-]+)+\.[A-Za-z]{1,5}\b)"
+FILE_IN_TEXT = r"(\b[\w.-]+\.(?:ts|tsx|js|jsx|mjs|cjs|py|rs|go)\b)"
+
+# How many candidates, identity checks, references, incidents, releases with documents.
+MAX_CANDIDATES, MAX_IDENTITY_CHECKS, MAX_REFERENCES, MAX_INCIDENTS, DOC_RELEASES = 8, 6, 500, 20, 8
+HIGH_CONFIDENCE_SCORE = 12.0
+
+# Word classes of predicates and names.
+FAILURES = [
+    "crash", "crashes", "crashed", "crashing", "fail", "fails", "failed", "failing", "throw", "throws", "threw", "thrown", "throwing", "error",
+    "errors", "errored", "break", "breaks", "broke", "broken", "breaking", "hang", "hangs", "hung", "hanging", "panic", "panics", "panicked", "die",
+    "dies", "died", "abort", "aborts", "aborted", "regress", "regresses", "regressed",
+]
+ACTIONS = [
+    "load", "loads", "loaded", "loading", "preload", "preloads", "preloaded", "resolve", "resolves", "resolved", "start", "starts", "started", "boot",
+    "boots", "booted", "mount", "mounts", "mounted", "render", "renders", "rendered", "respond", "responds", "responded", "return", "returns",
+    "returned", "initialize", "initialise", "initializes", "initialised", "initialized", "connect", "connects", "connected", "compile", "compiles",
+    "compiled", "build", "builds", "built", "install", "installs", "installed", "appear", "appears", "appeared", "run", "runs", "ran", "launch",
+    "launches", "launched", "open", "opens", "opened", "apply", "applies", "applied", "register", "registers", "registered", "emit", "emits",
+    "emitted", "find", "finds", "found", "work", "works", "worked", "come", "comes", "came", "show", "shows", "shown", "update", "updates", "updated",
+]
+HEALTHY = [
+    "working", "works", "healthy", "ok", "okay", "fine", "stable", "passing", "passes", "green", "fixed", "resolved", "unaffected", "correct",
+    "present", "available", "enabled", "up-to-date",
+]
+MODULE_NOUNS = [
+    "adapter", "agent", "api", "bridge", "cache", "cli", "client", "config", "core", "daemon", "gateway", "harness", "index", "kit", "layer", "lib",
+    "module", "package", "parser", "plugin", "preset", "provider", "proxy", "queue", "registry", "runtime", "sdk", "server", "service", "shim",
+    "store", "tool", "ui", "util", "worker",
+]

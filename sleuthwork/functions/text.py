@@ -183,6 +183,20 @@ def path_tails(paths: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(paths, tail))))
 
 
+def symptom_paths(text: Column) -> tuple[Column, Column]:
+    """Source paths that a report names: tails of two and three parts, and file names that tell something."""
+    tidy = lambda p: F.regexp_replace(F.lower(F.regexp_replace(p, r"\\", "/")), r"^[./]+", "")
+    sources = F.filter(F.transform(find_all(text, V.PATH_IN_TEXT), tidy), lambda p: p.rlike("(" + "|".join(s.replace(".", r"\.") for s in V.PATH_SUFFIXES) + ")$"))
+    split = F.transform(sources, lambda p: F.filter(F.split(p, "/"), lambda x: x != ""))
+    last = lambda parts: F.element_at(parts, -1)
+    tail = lambda parts, k: F.slice(parts, F.size(parts) - k + 1, k)
+    tells = lambda t: ~last(t).isin(V.GENERIC_BASENAMES) | ((F.size(t) >= 3) & ~F.element_at(t, 1).isin(V.GENERIC_DIRS))
+    of = lambda k: F.filter(F.transform(F.filter(split, lambda p: F.size(p) >= k), lambda p: tail(p, k)), tells)
+    tails = F.array_sort(F.array_distinct(F.transform(F.concat(of(2), of(3)), lambda t: F.array_join(t, "/"))))
+    names = F.concat(F.transform(F.filter(split, lambda p: F.size(p) > 0), last), F.transform(find_all(text, V.FILE_IN_TEXT), tidy))
+    return tails, F.array_sort(F.array_distinct(F.filter(names, lambda n: ~n.isin(V.GENERIC_BASENAMES))))
+
+
 def references(text: Column) -> Column:
     """References as structs (kind, value, confidence), in order and not yet distinct; URLs are read first and then left out."""
     raw = F.coalesce(text, F.lit(""))

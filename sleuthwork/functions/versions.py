@@ -12,18 +12,26 @@ PREFIX = r"(?i)^\s*(?:[A-Za-z][A-Za-z0-9._-]*?[-/@])?(?:v|version[-_]?|release[-
 SHAPE = r"(?i)^(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?(\d+)?)?(?:-(\d+)|[-_.]?(post|rev|r)[-_.]?(\d+)?)?(?:[-_.]?(dev)[-_.]?(\d+)?)?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?$"
 
 
-def _clean(raw: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(raw, r"[\s)\],;]+$", ""), r"^\s+", "")
-    return F.regexp_replace(out, PREFIX, "")
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once: a lambda's variable is bound, an expression is copied."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _group(raw: Column, k: int) -> Column:
-    got = F.regexp_extract(_clean(raw), SHAPE, k)
-    return F.when(got != "", got)
+def _read(raw: Column, use) -> Column:
+    """``use(groups)`` of a version's parts (of ``SHAPE``, "" where absent); NULL for what isn't a version."""
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"[\s)\],;]+$", ""), r"^\s+", ""), PREFIX, "")
+    cut = "\x1f".join(f"${k}" for k in range(1, 11))
+    # A text that holds the separator is no version, so the parts are unambiguous.
+    groups = lambda c: F.split(F.regexp_replace(c, SHAPE, cut), "\x1f", -1)
+    return _let(clean, lambda c: F.when(c.rlike(SHAPE), _let(groups(c), use)))
 
 
-def _ok(raw: Column) -> Column:
-    return raw.isNotNull() & _clean(raw).rlike(SHAPE)
+def _part(g: Column, k: int) -> Column:
+    return F.element_at(g, k)
+
+
+def _value(g: Column, k: int) -> Column:
+    return F.when(_part(g, k) == "", F.lit("0")).otherwise(_part(g, k)).cast("decimal(20,0)")
 
 
 def _stage(name: Column) -> Column:
@@ -31,37 +39,42 @@ def _stage(name: Column) -> Column:
     return F.when(low.isin("a", "alpha"), "a").when(low.isin("b", "beta"), "b").when(low.isin("c", "rc", "pre", "preview"), "rc")
 
 
-def _numbers(raw: Column) -> Column:
-    return F.transform(F.split(_group(raw, 2), r"\."), lambda n: n.cast("decimal(20,0)"))
+def _numbers(g: Column) -> Column:
+    return F.transform(F.split(_part(g, 2), r"\."), lambda n: n.cast("decimal(20,0)"))
 
 
 def normalize_version(raw: Column) -> Column:
     """The canonical spelling, e.g. ``abc-v0.1.2-alpha.3`` as ``0.1.2a3``; NULL when unsure."""
-    number = lambda k: F.coalesce(_group(raw, k), F.lit("0")).cast("decimal(20,0)").cast("string")
-    epoch = F.when(number(1) != "0", F.concat(number(1), F.lit("!"))).otherwise("")
-    release = F.array_join(F.transform(_numbers(raw), lambda n: n.cast("string")), ".")
-    pre = F.when(_group(raw, 3).isNotNull(), F.concat(_stage(_group(raw, 3)), number(4))).otherwise("")
-    post = F.when(_group(raw, 5).isNotNull(), F.concat(F.lit(".post"), number(5))).when(_group(raw, 6).isNotNull(), F.concat(F.lit(".post"), number(7))).otherwise("")
-    dev = F.when(_group(raw, 8).isNotNull(), F.concat(F.lit(".dev"), number(9))).otherwise("")
-    local = F.when(_group(raw, 10).isNotNull(), F.concat(F.lit("+"), F.regexp_replace(F.lower(_group(raw, 10)), "[-_]", "."))).otherwise("")
-    return F.when(_ok(raw), F.concat(epoch, release, pre, post, dev, local))
+
+    def spell(g: Column) -> Column:
+        number, some = lambda k: _value(g, k).cast("string"), lambda k: _part(g, k) != ""
+        return F.concat(
+            F.when(number(1) != "0", F.concat(number(1), F.lit("!"))).otherwise(""), F.array_join(F.transform(_numbers(g), lambda n: n.cast("string")), "."),
+            F.when(some(3), F.concat(_stage(_part(g, 3)), number(4))).otherwise(""), F.when(some(5), F.concat(F.lit(".post"), number(5))).when(some(6), F.concat(F.lit(".post"), number(7))).otherwise(""),
+            F.when(some(8), F.concat(F.lit(".dev"), number(9))).otherwise(""), F.when(some(10), F.concat(F.lit("+"), F.regexp_replace(F.lower(_part(g, 10)), "[-_]", "."))).otherwise(""),
+        )
+
+    return _read(raw, spell)
 
 
 def version_key(raw: Column) -> Column:
     """An orderable struct (development < pre < final < post); NULL when unsure."""
-    big = 10**18
-    value = lambda k: F.coalesce(_group(raw, k), F.lit("0")).cast("decimal(20,0)")
-    numbers = _numbers(raw)
-    # Trailing zeros don't count; 1.0 equals 1.
-    last = F.array_max(F.transform(numbers, lambda n, i: F.when(n != 0, i + 1).otherwise(0)))
-    release = F.slice(numbers, F.lit(1), F.greatest(last, F.lit(0)))
-    has_pre, has_post, has_dev = _group(raw, 3).isNotNull(), _group(raw, 5).isNotNull() | _group(raw, 6).isNotNull(), _group(raw, 8).isNotNull()
-    stage = F.when(has_pre, F.when(_stage(_group(raw, 3)) == "a", 1).when(_stage(_group(raw, 3)) == "b", 2).otherwise(3)).when(has_dev & ~has_post, 0).otherwise(4)
-    post = F.when(_group(raw, 5).isNotNull(), value(5)).when(has_post, value(7)).otherwise(F.lit(-1).cast("decimal(20,0)"))
-    dev = F.when(has_dev, value(9)).otherwise(F.lit(big).cast("decimal(20,0)"))
-    # A local part orders after none; numbers after words, as zero-padded text.
-    local = F.transform(F.split(F.regexp_replace(F.lower(F.coalesce(_group(raw, 10), F.lit(""))), "[-_]", "."), r"\."), lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("~"), F.lpad(p, 20, "0"))).otherwise(p))
-    return F.when(_ok(raw), F.struct(value(1).alias("epoch"), release.alias("release"), stage.alias("stage"), F.when(has_pre, value(4)).otherwise(F.lit(0).cast("decimal(20,0)")).alias("pre"), post.alias("post"), dev.alias("dev"), local.alias("local")))
+    number = lambda n: F.lit(n).cast("decimal(20,0)")
+
+    def key(g: Column) -> Column:
+        some = lambda k: _part(g, k) != ""
+        # Trailing zeros don't count; 1.0 equals 1.
+        release = _let(_numbers(g), lambda ns: F.slice(ns, F.lit(1), F.greatest(F.array_max(F.transform(ns, lambda n, i: F.when(n != 0, i + 1).otherwise(0))), F.lit(0))))
+        stage = F.when(some(3), F.when(_stage(_part(g, 3)) == "a", 1).when(_stage(_part(g, 3)) == "b", 2).otherwise(3)).when(some(8) & ~some(5) & ~some(6), 0).otherwise(4)
+        post = F.when(some(5), _value(g, 5)).when(some(6), _value(g, 7)).otherwise(number(-1))
+        # A local part orders after none; numbers after words, as zero-padded text.
+        local = F.transform(F.split(F.regexp_replace(F.lower(_part(g, 10)), "[-_]", "."), r"\."), lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("~"), F.lpad(p, 20, "0"))).otherwise(p))
+        return F.struct(
+            _value(g, 1).alias("epoch"), release.alias("release"), stage.alias("stage"), F.when(some(3), _value(g, 4)).otherwise(number(0)).alias("pre"), post.alias("post"),
+            F.when(some(8), _value(g, 9)).otherwise(number(10**18)).alias("dev"), local.alias("local"),
+        )
+
+    return _read(raw, key)
 
 
 def compare(left: Column, right: Column) -> Column:
@@ -71,7 +84,27 @@ def compare(left: Column, right: Column) -> Column:
 
 
 def is_prerelease(raw: Column) -> Column:
-    return F.when(_ok(raw), _group(raw, 3).isNotNull() | _group(raw, 8).isNotNull())
+    return _read(raw, lambda g: (_part(g, 3) != "") | (_part(g, 8) != ""))
+
+
+def normalize_tag(tag: Column, prefixes: list[str]) -> Column:
+    """The version of a tag less the first of a profile's prefixes that fits; else of the whole tag."""
+    bare = tag
+    for p in reversed(prefixes):
+        bare = F.when(tag.startswith(p), F.substring(tag, F.lit(len(p) + 1), F.length(tag))).otherwise(bare)
+    return F.coalesce(normalize_version(bare), normalize_version(tag)) if prefixes else normalize_version(tag)
+
+
+def exact_version(raw: Column) -> Column:
+    """``x.y.z`` if the text is that and no range; else NULL."""
+    found = F.regexp_extract(raw, r"^\s*[v=]?(\d+\.\d+\.\d+(?:[-+.][0-9A-Za-z.+-]+)?)\s*$", 1)
+    return F.when(found != "", found)
+
+
+def report_version(text: Column, patterns: list[str]) -> Column:
+    """The version in a report's template field: of the first pattern in the list that hits."""
+    hit = lambda p: F.regexp_extract(text, p, 1)
+    return F.coalesce(*[F.when(text.rlike(p), F.trim(hit(p))) for p in patterns]) if patterns else F.lit(None).cast("string")
 
 
 def in_range(raw: Column, low: Column | None = None, high: Column | None = None) -> Column:
@@ -88,12 +121,18 @@ def in_range(raw: Column, low: Column | None = None, high: Column | None = None)
 def covers(low: Column, high: Column, points: Column, version: Column) -> Column:
     """Whether a runtime bound covers a version: a maximum also covers what it is a text prefix of,
     a point also what continues it after a dot. NULL if that can't be decided."""
-    v, text = version_key(version), normalize_version(version)
-    below = v < version_key(low)
-    above = (v > version_key(high)) & ~text.startswith(normalize_version(high))
-    bounded = F.when((low.isNotNull() & version_key(low).isNull()) | (high.isNotNull() & version_key(high).isNull()), F.lit(None).cast("boolean")).otherwise(~(F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False))))
-    listed = F.exists(points, lambda p: F.coalesce((version_key(p) == v) | text.startswith(F.concat(normalize_version(p), F.lit("."))), F.lit(False)))
-    return F.when(v.isNull(), F.lit(None).cast("boolean")).when(low.isNotNull() | high.isNotNull(), bounded).when(F.size(points) > 0, listed)
+    none = F.lit(None).cast("boolean")
+
+    def decide(x: Column) -> Column:
+        v, text, lo, hi = x["v"], x["text"], x["lo"], x["hi"]
+        below = v < lo
+        above = (v > hi) & ~text.startswith(x["high"])
+        unsure = (low.isNotNull() & lo.isNull()) | (high.isNotNull() & hi.isNull())
+        bounded = F.when(unsure, none).otherwise(~(F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False))))
+        listed = F.exists(points, lambda p: F.coalesce((version_key(p) == v) | text.startswith(F.concat(normalize_version(p), F.lit("."))), F.lit(False)))
+        return F.when(v.isNull(), none).when(low.isNotNull() | high.isNotNull(), bounded).when(F.size(points) > 0, listed)
+
+    return _let(F.struct(version_key(version).alias("v"), normalize_version(version).alias("text"), version_key(low).alias("lo"), version_key(high).alias("hi"), normalize_version(high).alias("high")), decide)
 
 
 def canonical_runtime(name: Column) -> Column:
@@ -132,8 +171,15 @@ def constraints(text: Column) -> Column:
 def applicability(core_version: Column, runtime: Column, runtime_version: Column, system: Column, bounds: Column, source: Column) -> Column:
     """How far a report's environment agrees with bounds: one of ``fixed.SEVERITY``."""
     rank = {name: i for i, name in enumerate(V.SEVERITY)}
+    return _let(bounds, lambda b: _applicability(core_version, runtime, runtime_version, system, b, source, rank))
+
+
+def _applicability(core_version, runtime, runtime_version, system, bounds, source, rank) -> Column:
     asked = F.filter(bounds["runtimes"], lambda c: runtime.isNull() | (c["runtime"] == runtime))
-    verdicts = F.transform(asked, lambda c: covers(c["low"], c["high"], c["points"], runtime_version))
+    return _let(F.transform(asked, lambda c: covers(c["low"], c["high"], c["points"], runtime_version)), lambda v: _level(v, core_version, runtime_version, system, bounds, source, rank))
+
+
+def _level(verdicts, core_version, runtime_version, system, bounds, source, rank) -> Column:
     checked = runtime_version.isNotNull() & (runtime_version != "")
     worst = F.array_max(F.transform(verdicts, lambda v: F.when(v.isNull(), rank["unresolved_version"]).when(~v, F.when(source == "explicit", rank["hard_contradiction"]).otherwise(rank["possible_contradiction"])).otherwise(rank["compatible_unknown"])))
     other = system.isNotNull() & (F.size(bounds["systems"]) > 0) & ~F.array_contains(bounds["systems"], canonical_system(system))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions import versions as ver
+from .tables import shared
 
 #: What path evidence is worth, and the least that is believed.
 TAIL3, TAIL2, BASENAME, PER_TOKEN, MIN_CHANGE_SCORE, MAX_FILES = 4.0, 2.0, 0.5, 0.5, 3.0, 60
@@ -24,7 +24,7 @@ def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
     """
     spark = commits.sparkSession
     # The same folder for all levels: what is known is one table to read.
-    root = f"{_shared(spark)}/sleuthwork/ancestors-{uuid.uuid4().hex}"
+    root = f"{shared(spark)}/sleuthwork/ancestors-{uuid.uuid4().hex}"
     edges = f"{root}/edges"
     commits.select("sha", F.explode("parents").alias("parent")).where("parent IS NOT NULL").distinct().write.parquet(edges)
     edge = spark.read.parquet(edges)
@@ -39,20 +39,17 @@ def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(*levels)
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that cuts lineage; a local one only where the setting is absent."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sleuthwork-")
-
-
 def containment(commits: DataFrame, tags: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``sha, tag, contains`` for tags (tag, sha); null where the tag's commit or the wanted one is unknown."""
-    known = commits.select("sha")
+    """``sha, tag, contains`` for the tags (tag, sha) of each wanted commit that contain it, and, with null, for
+    those of which the tag's commit or the wanted one is unknown. What is known and not listed isn't contained.
+    """
+    known = commits.select("sha").distinct()
+    wanted = wanted.select("sha").distinct()
     reach = ancestors(commits, tags.join(known, "sha", "left_semi").select(F.col("sha").alias("start")))
-    pairs = wanted.select("sha").distinct().crossJoin(tags.select("tag", F.col("sha").alias("start")))  # tags are a small dimension
-    have = F.struct(F.lit(True).alias("x"))
-    pairs = pairs.join(reach.withColumn("r", have), ["start", "sha"], "left").join(known.withColumn("k", have), "sha", "left")
-    pairs = pairs.join(known.select(F.col("sha").alias("start")).withColumn("t", have), "start", "left")
-    return pairs.select("sha", "tag", F.when(F.col("k").isNotNull() & F.col("t").isNotNull(), F.col("r").isNotNull()).alias("contains"))
+    held = reach.join(wanted, "sha").join(tags.select("tag", F.col("sha").alias("start")), "start").select("sha", "tag", F.lit(True).alias("contains"))
+    strange = wanted.join(known, "sha", "left_anti").select("sha", F.lit(None).cast("string").alias("tag"), F.lit(None).cast("boolean").alias("contains"))
+    lost = tags.join(known, "sha", "left_anti").select(F.lit(None).cast("string").alias("sha"), "tag", F.lit(None).cast("boolean").alias("contains"))
+    return held.unionByName(strange).unionByName(lost)
 
 
 def first_releases(contained: DataFrame) -> DataFrame:
@@ -131,14 +128,18 @@ def reference_edges(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return rows.groupBy("object_id", "kind", F.lower("value").alias("_v")).agg(F.min_by(F.struct("value", "confidence"), "i").alias("r")).select("object_id", "kind", "r.*")
 
 
-def package_family(packages: DataFrame, manifests: DataFrame) -> DataFrame:
-    """``name, related``: names that are ancestors by a boundary sign, or owned by one repository.
+def package_family(packages: DataFrame, manifests: DataFrame, retrieval: bool = False) -> DataFrame:
+    """``name, related``: of two names one continues the other after a boundary sign, and the repository
+    publishes both (for retrieval: one of them).
 
-    Ancestors are found by the name's own prefixes (an equi-join), not by comparing all names.
+    Ancestors are found by a name's own prefixes (an equi-join), not by comparing all names.
     """
-    names = packages.select("name").distinct()
+    owned = manifests.select("name").distinct()
+    names = packages.select("name").unionByName(owned).distinct()
     cut = F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.length("name"), F.lit(2))), lambda i: F.substring("name", i, F.lit(1)).isin("-", "/", ".")), lambda i: F.substring("name", F.lit(1), i - 1))
     up = names.select("name", F.explode(cut).alias("related")).join(names.select(F.col("name").alias("related")), "related", "left_semi").select("name", "related")
-    owned = manifests.join(names, "name", "left_semi").select("repo_id", "name")
-    peers = owned.join(owned.withColumnRenamed("name", "related"), "repo_id").where("name <> related").select("name", "related")
-    return up.unionByName(up.select(F.col("related").alias("name"), F.col("name").alias("related"))).unionByName(peers).distinct()
+    mark = lambda c: owned.select(F.col("name").alias(c), F.lit(True).alias(f"_{c}"))
+    up = up.join(mark("name"), "name", "left").join(mark("related"), "related", "left")
+    left, right = F.col("_name").isNotNull(), F.col("_related").isNotNull()
+    up = up.where((left | right) if retrieval else (left & right)).select("name", "related")
+    return up.unionByName(up.select(F.col("related").alias("name"), F.col("name").alias("related"))).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions import text as fn
+from .tables import materialize
 
 #: Decimals kept of scores before they are compared with thresholds.
 ROUND = 9
@@ -26,18 +27,25 @@ def token_hits(units: DataFrame, tokens: DataFrame) -> DataFrame:
     """``object_id, token, unit_hits``: units of an object that match a token as an unescaped ILIKE pattern.
 
     A match of a token without blanks lies in one word. Words are matched once, in the distinct vocabulary,
-    and found by a trigram that both share (an equi-join); the words then lead back to the units. Tokens
-    with blanks or wildcards share a trigram with the unit itself. Those without a literal trigram are
-    matched with every unit, in blocks of ``PATTERN_BLOCK``, so what is broadcast is bounded.
+    which is a table of its own, and found by a trigram that both share (an equi-join): of a token's trigrams
+    the one that the fewest words have, so no common trigram gathers both sides. The words that were found,
+    no others, lead back to the units. Tokens with blanks or wildcards share a trigram with the unit itself.
+    Those without a literal trigram are matched with every unit, in blocks of ``PATTERN_BLOCK``, so what is
+    broadcast is bounded.
     """
-    distinct = tokens.select("token").where("token IS NOT NULL").distinct()
+    distinct = materialize(tokens.select("token").where("token IS NOT NULL").distinct(), "tokens")
     keyed = distinct.withColumn("gram", F.regexp_extract(F.lower("token"), r"[^\s_%\\]{3}", 0)).withColumn("like", fn.ilike_token(F.col("token")))
     loose = F.col("token").rlike(r"[\s_%\\]")
     counts = keyed.agg(F.count_if((F.col("gram") != "") & loose).alias("loose"), F.count_if(F.col("gram") == "").alias("bare")).first()
-    words = units.select("object_id", "seq", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).where("word <> ''")
-    near = words.select("word").distinct().select("word", F.explode(_grams("word")).alias("gram")).join(keyed.where((F.col("gram") != "") & ~loose), "gram")
-    found = near.where(F.expr("word ILIKE like")).select("word", "token")
-    out = words.join(found, "word").select("object_id", "seq", "token").distinct()
+    words = units.select("object_id", "seq", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).where("word <> ''")
+    vocabulary = materialize(words.select("word").distinct(), "vocabulary")
+    parts = materialize(keyed.where((F.col("gram") != "") & ~loose).select("token", F.explode(_grams("token")).alias("gram")), "grams")
+    near = vocabulary.select("word", F.explode(_grams("word")).alias("gram"))
+    often = near.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = parts.join(often, "gram").groupBy("token").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("have"), F.first(F.size(_grams("token"))).alias("need"))
+    # A token whose trigrams aren't all in the vocabulary is in no word.
+    found = near.join(rarest.where("have = need").select("token", "gram"), "gram").where(F.col("word").contains(F.lower("token"))).select("word", "token")
+    out = words.join(materialize(found, "found"), "word").select("object_id", "seq", "token").distinct()
     if counts["loose"]:
         spread = units.select("object_id", "seq", "text", F.explode(_grams("text")).alias("gram")).join(keyed.where((F.col("gram") != "") & loose), "gram")
         out = out.unionByName(spread.where(F.expr("text ILIKE like")).select("object_id", "seq", "token").distinct())
@@ -73,9 +81,10 @@ def search(units: DataFrame, tokens: DataFrame, objects: DataFrame | None = None
     A comment's hits count for its thread; frequencies are those of objects before that. Without objects
     every object is its own thread. Ranked per request among the accepted.
     """
-    hits = weighted(token_hits(units, tokens), units)
+    tokens = materialize(tokens, "asked")
+    hits = weighted(materialize(token_hits(units, tokens), "hits"), units)
     asked = tokens.select("request_id", "token").distinct()
-    own = asked.join(hits.select("token", "weight").distinct(), "token").groupBy("request_id").agg(F.sum("weight").alias("total"))
+    own = asked.join(hits.groupBy("token").agg(F.first("weight").alias("weight")), "token").groupBy("request_id").agg(F.sum("weight").alias("total"))
     if objects is not None:
         threads = objects.select("object_id", F.coalesce("parent_id", "object_id").alias("thread"))
         hits = hits.join(threads, "object_id").drop("object_id").withColumnRenamed("thread", "object_id")
@@ -128,7 +137,8 @@ def merge_channels(token_hits: DataFrame, features: DataFrame, limit: int = 8) -
 def leave_one_out(units: DataFrame, tokens: DataFrame) -> DataFrame:
     """Census search: request_id is an object of the corpus, and is left out of its own answer, of the
     number of objects and of the frequencies."""
-    hits = token_hits(units, tokens)
+    tokens = materialize(tokens, "asked")
+    hits = materialize(token_hits(units, tokens), "hits")
     freq = doc_freq(hits)
     corpus = units.agg((F.count_distinct("object_id") - 1).alias("corpus"))
     asked = tokens.select("request_id", "token").distinct()

@@ -17,22 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 
-# Word classes of predicates and names, and labels of provenance.
-FAILURES = (
-    "crash crashes crashed crashing fail fails failed failing throw throws threw thrown throwing error errors errored break breaks broke broken breaking hang hangs hung hanging "
-    "panic panics panicked die dies died abort aborts aborted regress regresses regressed"
-).split()
-ACTIONS = (
-    "load loads loaded loading preload preloads preloaded resolve resolves resolved start starts started boot boots booted mount mounts mounted render renders rendered respond "
-    "responds responded return returns returned initialize initialise initializes initialised initialized connect connects connected compile compiles compiled build builds built "
-    "install installs installed appear appears appeared run runs ran launch launches launched open opens opened apply applies applied register registers registered emit emits "
-    "emitted find finds found work works worked come comes came show shows shown update updates updated"
-).split()
-HEALTHY = "working works healthy ok okay fine stable passing passes green fixed resolved unaffected correct present available enabled up-to-date".split()
-MODULE_NOUNS = (
-    "adapter agent api bridge cache cli client config core daemon gateway harness index kit layer lib module package parser plugin preset provider proxy queue registry runtime sdk "
-    "server service shim store tool ui util worker"
-).split()
+# Endings of adjectives; labels of provenance.
 ADJECTIVES = ("ing", "ed", "ive", "able", "ible", "ful", "less", "ous", "ary", "ent", "ant", "istic", "wide")
 PROVENANCE = re.compile(
     r"\b(?:quoted|copied|taken|reproduced|pasted)\s+from\b|\b(?:documentation|docs?|upstream|vendor|old|previous|earlier|another|unrelated|archived|retired|resolved|historical|legacy)\b"
@@ -41,7 +26,7 @@ PROVENANCE = re.compile(
 )
 NAME = re.compile(r"@[\w.-]*[\w-]/[\w.-]*[\w-](?:/[\w.-]*[\w-])*|\b(?!node:)[a-z][\w.-]{2,}(?=@[\^~>=<]*\d)")
 
-_FAIL, _ACT, _WELL = set(FAILURES), set(ACTIONS), set(HEALTHY)
+_FAIL, _ACT, _WELL = set(V.FAILURES), set(V.ACTIONS), set(V.HEALTHY)
 _NOT = {"cannot", "never", "not"}
 _COPULA = set("is was are were be been looks look seems seem remains remain has have had will would can could does did do still also again now".split())
 _LINK = re.compile(r"[,;:]|--?\s|\b(?:and|but|then|yet|which|that|when|while|however|so|because)\b")
@@ -197,7 +182,7 @@ def is_module(token: str, text: str, known: frozenset[str]) -> bool:
     parts = token.split("-")
     last = parts[-1]
     one = last[:-1] if last.endswith("s") and len(last) > 3 else last
-    shaped = all(len(p) > 1 for p in parts) and not last.endswith(ADJECTIVES) and (last in MODULE_NOUNS or one in MODULE_NOUNS or (len(last) >= 5 and last.endswith(("er", "or", "ers", "ors"))))
+    shaped = all(len(p) > 1 for p in parts) and not last.endswith(ADJECTIVES) and (last in V.MODULE_NOUNS or one in V.MODULE_NOUNS or (len(last) >= 5 and last.endswith(("er", "or", "ers", "ors"))))
     t = re.escape(token)
     return token in known or shaped or bool(re.search(rf"[`\"']{t}[`\"']|\b{t}[/\\.][\w./\\-]|\b{t}@[\w.-]|(?m:^\s*{t}\s*:)|\b(?:package|module|plugin|vendor|import|require|from|dependency)\s+[`\"']?{t}", text, re.IGNORECASE))
 
@@ -247,7 +232,3 @@ def two_pass(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int
         return first
     again = df.where(F.arrays_overlap(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z][a-z0-9]*(?:-[a-z0-9]+){1,4}\b"), F.lit(0)), F.array(*[F.lit(n) for n in names])))
     return first.unionByName(classify(again, key, text, names)).distinct()
-
-
-def extractor_version() -> int:
-    return V.FEATURE_EXTRACTOR_VERSION

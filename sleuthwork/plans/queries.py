@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions import text as fn
 from ..functions import versions as ver
-from ..operators import content, decisions, evals, history, identity, retrieval, signatures, subjects, upsert
+from ..operators import content, decisions, evals, flow, history, identity, retrieval, signatures, subjects, upsert
+from ..operators.tables import placed
 from ..sources.payloads import probe, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,16 +79,17 @@ def fenced_units(spark, d):
     return content.content_units(read_table(spark, d, "documents"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b(api[_-]?key|secret|password|passwd|token|authorization|cookie)\b\s*[:=]\s*[''"]?[^\s''"]{6,}', '\1=<redacted>', 'g'), '(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '<redacted:email>', 'g') AS redacted
-FROM documents WHERE regexp_matches(text, '@|(?i)token\s*=')""")
-def redact_documents(spark, d):
-    docs = read_table(spark, d, "documents").where(F.col("text").rlike(r"@|(?i)token\s*="))
-    return docs.select("doc_id", fn.redact(F.col("text")).alias("redacted"))
+def _redact_sql() -> str:
+    out = "text"
+    for pattern, by in V.REDACTIONS:
+        by = by.replace("\\\\", "\\\\").replace("$1", r"\1")
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+    return out
 
 
-@query()
-def redact_documents_all(spark, d):
-    """Every document redacted; most rules' patterns are Java's, tested against Python's on fixtures."""
+@query(f"SELECT doc_id, {_redact_sql()} AS redacted FROM documents")
+def redact_documents(spark, d):
+    """Every document, all rules."""
     return read_table(spark, d, "documents").select("doc_id", fn.redact(F.col("text")).alias("redacted"))
 
 
@@ -144,14 +146,14 @@ def token_search_top(spark, d):
 
 
 @query("""WITH u AS (SELECT conv_id * 1000 + turn AS object_id, conv_id * 1000 AS parent, text FROM conversations WHERE text IS NOT NULL),
-w AS (SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS token FROM conversations WHERE turn = 0 AND conv_id % 10 = 0)),
+w AS (SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS token FROM conversations WHERE turn = 0 )),
 h AS (SELECT object_id, parent, token FROM u JOIN w ON contains(lower(u.text), w.token)),
 f AS (SELECT token, count(DISTINCT object_id) AS doc_freq FROM h GROUP BY token),
 k AS (SELECT parent AS thread, token, count(*) AS unit_hits, any_value(ln(1 + (SELECT count(DISTINCT object_id) FROM u) / doc_freq)) AS weight FROM h JOIN f USING (token) GROUP BY ALL)
 SELECT thread, round(sum(weight), 6) AS score, count(*) AS matched, sum(unit_hits)::BIGINT AS unit_hits FROM k GROUP BY thread""")
 def thread_rollup(spark, d):
     """Conversations as threads: frequencies per turn, scores per thread."""
-    return _rollup(spark, d, "turn = 0 AND conv_id % 10 = 0")
+    return _rollup(spark, d, "turn = 0")
 
 
 def _rollup(spark, d, opening):
@@ -163,44 +165,21 @@ def _rollup(spark, d, opening):
     return per.groupBy("thread").agg(F.round(F.sum("weight"), 6).alias("score"), F.count("*").alias("matched"), F.sum("unit_hits").alias("unit_hits"))
 
 
-@query(SQL["thread_rollup"].replace(" AND conv_id % 10 = 0", ""))
-def thread_rollup_all(spark, d):
-    """As thread_rollup, with the words of every opening turn."""
-    return _rollup(spark, d, "turn = 0")
-
-
-@query(HITS_SQL + """, b AS (SELECT object_id, token, text, row_number() OVER (PARTITION BY object_id, token ORDER BY length(text), seq) AS n FROM u JOIN d ON contains(lower(u.text), d.token) WHERE length(d.token) >= 14)
+@query(HITS_SQL + """, b AS (SELECT object_id, token, text, row_number() OVER (PARTITION BY object_id, token ORDER BY length(text), seq) AS n FROM u JOIN d ON contains(lower(u.text), d.token))
 SELECT object_id, token, text AS excerpt FROM b WHERE n = 1""")
 def best_excerpt(spark, d):
-    units, tokens = _units(spark, d), _tokens(spark, d).where(F.length("token") >= 14)
-    return retrieval.best_excerpt(units, retrieval.token_hits(units, tokens).select("object_id", "token"))
-
-
-@query(SQL["best_excerpt"].replace(" WHERE length(d.token) >= 14", ""))
-def best_excerpt_all(spark, d):
     """The excerpt of every hit that token_hits finds."""
     units = _units(spark, d)
     return retrieval.best_excerpt(units, retrieval.token_hits(units, _tokens(spark, d)).select("object_id", "token"))
 
 
-_LOO_SQL = HITS_SQL.replace(TOKENS_SQL, "t AS (SELECT doc_id AS request_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{14,}'))) AS token FROM documents WHERE doc_id % 50 = 0)")
+_LOO_SQL = HITS_SQL.replace("item_id AS request_id", "doc_id AS request_id").replace("FROM benchmark WHERE text IS NOT NULL", "FROM documents WHERE text IS NOT NULL AND doc_id % 20 = 0")
 
 
 @query(_LOO_SQL + """, e AS (SELECT t.request_id, t.token, f.doc_freq - (EXISTS (SELECT 1 FROM h WHERE h.object_id = t.request_id AND h.token = t.token))::INT AS df FROM (SELECT DISTINCT * FROM t) t JOIN f USING (token))
 SELECT request_id, object_id, round(sum(ln(1 + ((SELECT count(DISTINCT object_id) FROM u) - 1) / df)), 6) AS score, count(*) AS matched FROM e JOIN h USING (token) WHERE df > 0 AND object_id <> request_id GROUP BY ALL""")
 def leave_one_out(spark, d):
-    """A census: stated query set (every fiftieth document) against all others."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{14,}"), F.lit(0)))
-    tokens = read_table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("request_id"), F.explode(words).alias("token"))
-    return retrieval.leave_one_out(_units(spark, d), tokens)
-
-
-_LOO_ALL_SQL = HITS_SQL.replace("item_id AS request_id", "doc_id AS request_id").replace("FROM benchmark WHERE text IS NOT NULL", "FROM documents WHERE text IS NOT NULL AND doc_id % 20 = 0")
-
-
-@query(SQL["leave_one_out"].replace(_LOO_SQL, _LOO_ALL_SQL))
-def leave_one_out_all(spark, d):
-    """The census over every twentieth document, with the query tokens of a search."""
+    """A census: the stated query set (every twentieth document) against all others, with a search's tokens."""
     asked = read_table(spark, d, "documents").where("doc_id % 20 = 0")
     return retrieval.leave_one_out(_units(spark, d), _query_tokens(asked, "doc_id"))
 
@@ -226,7 +205,7 @@ def signature_mine(spark, d):
 
 
 def _code_features(df: DataFrame, key: str) -> DataFrame:
-    """Upper-case codes as features of kind error."""
+    """Long words stand for error features, as the tables hold hardly any error type."""
     return df.select(F.col(key).alias("k"), F.lit("error").alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{12,}"), F.lit(0)))).alias("value"))
 
 
@@ -267,39 +246,16 @@ def merge_channels(spark, d):
 _ID_WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))"
 
 
-def _identity_pairs(spark, d):
-    """Documents of one first line, each against the first of them: long words stand for features."""
-    words = lambda p: F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0)))
-    rows = read_table(spark, d, "documents").where("text IS NOT NULL").select(
-        "doc_id", F.substring_index("text", "\n", 1).alias("head"), identity.empty_side(structural=words("[a-z]{13,}"), behavior=words("[a-z]{11,12}"), subject_module=words("[a-z]{14,}ble"), component=words("[a-z]{10}tion")).alias("s"))
-    first = rows.groupBy("head").agg(F.min("doc_id").alias("doc_id"))
-    x, y = rows.join(first, ["head", "doc_id"], "left_semi").alias("x"), rows.alias("y")
-    return x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("query_id"), F.col("y.doc_id").alias("candidate_id"), F.col("x.s").alias("q"), F.col("y.s").alias("c"))
-
-
 _IDENTITY_SQL = """WITH r AS (SELECT doc_id, string_split(text, chr(10))[1] AS head, list_distinct(regexp_extract_all(lower(text), '[a-z]{13,}')) AS st, list_distinct(regexp_extract_all(lower(text), '[a-z]{11,12}')) AS be,
   list_distinct(regexp_extract_all(lower(text), '[a-z]{14,}ble')) AS mo, list_distinct(regexp_extract_all(lower(text), '[a-z]{10}tion')) AS co FROM documents WHERE text IS NOT NULL),
 p AS (SELECT x.doc_id AS query_id, y.doc_id AS candidate_id, len(list_intersect(x.st, y.st)) AS st, len(list_intersect(x.be, y.be)) AS be, len(list_intersect(x.mo, y.mo)) AS mo, len(list_intersect(x.co, y.co)) AS co,
-  len(x.mo) > 0 AND len(y.mo) > 0 AS named, coalesce(list_bool_or(flatten(list_transform(x.mo, lambda a: list_transform(y.mo, lambda b: contains(a, b) OR contains(b, a))))), false) AS touch FROM r x JOIN r y ON x.head = y.head AND x.doc_id < y.doc_id JOIN (SELECT head, min(doc_id) AS doc_id FROM r GROUP BY head) f ON f.doc_id = x.doc_id),
+  len(x.mo) > 0 AND len(y.mo) > 0 AS named, coalesce(list_bool_or(flatten(list_transform(x.mo, lambda a: list_transform(y.mo, lambda b: contains(a, b) OR contains(b, a))))), false) AS touch FROM r x JOIN r y ON x.head = y.head AND x.doc_id < y.doc_id),
 v AS (SELECT *, round(mo * 1.5 + st * 3.0 + be * 1.5 + co * 0.5, 9)::DOUBLE AS score, CASE WHEN mo > 0 AND (st > 0 OR be >= 2) THEN 'module_plus_second_class' WHEN st >= 2 THEN 'two_independent_symbols' WHEN st > 0 AND be >= 2 THEN 'symbol_plus_behaviour' WHEN be >= 3 AND co >= 2 THEN 'behaviour_profile_plus_component' END AS rule,
   named AND (mo = 0 OR NOT touch) AS weak FROM p),
 w AS (SELECT *, CASE WHEN rule IS NULL THEN 'insufficient_identity_evidence' WHEN weak AND rule IN ('two_independent_symbols', 'symbol_plus_behaviour') THEN 'insufficient_identity_evidence' WHEN score < 4.5 THEN 'identity_score_below_threshold' END AS rejection FROM v)"""
 
 
-@query(_IDENTITY_SQL + " SELECT query_id, candidate_id, score FROM w")
-def identity_score(spark, d):
-    return identity.evaluate(_identity_pairs(spark, d)).select("query_id", "candidate_id", "score")
-
-
-@query(_IDENTITY_SQL + " SELECT query_id, candidate_id, rejection, rule, rejection IS NULL AS accepted FROM w")
-def identity_cascade(spark, d):
-    return identity.evaluate(_identity_pairs(spark, d)).select("query_id", "candidate_id", "rejection", "rule", "accepted")
-
-
-_IDENTITY_ALL_SQL = _IDENTITY_SQL.replace(" JOIN (SELECT head, min(doc_id) AS doc_id FROM r GROUP BY head) f ON f.doc_id = x.doc_id", "")
-
-
-def _identity_all(spark, d):
+def _identity_pairs(spark, d):
     """Every two documents of one first line. Equal feature sides are judged once, by their representative
     (the smallest doc_id); a membership table leads the verdicts back to the documents."""
     words = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0))))
@@ -315,14 +271,14 @@ def _identity_all(spark, d):
     return judged.join(q, ["head", "q_rep"]).join(c, ["head", "c_rep"]).where("query_id < candidate_id")
 
 
-@query(_IDENTITY_ALL_SQL + " SELECT query_id, candidate_id, score FROM w")
-def identity_score_all(spark, d):
-    return _identity_all(spark, d).select("query_id", "candidate_id", "score")
+@query(_IDENTITY_SQL + " SELECT query_id, candidate_id, score FROM w")
+def identity_score(spark, d):
+    return _identity_pairs(spark, d).select("query_id", "candidate_id", "score")
 
 
-@query(_IDENTITY_ALL_SQL + " SELECT query_id, candidate_id, rejection, rule, rejection IS NULL AS accepted FROM w")
-def identity_cascade_all(spark, d):
-    return _identity_all(spark, d).select("query_id", "candidate_id", "rejection", "rule", "accepted")
+@query(_IDENTITY_SQL + " SELECT query_id, candidate_id, rejection, rule, rejection IS NULL AS accepted FROM w")
+def identity_cascade(spark, d):
+    return _identity_pairs(spark, d).select("query_id", "candidate_id", "rejection", "rule", "accepted")
 
 
 @query("""WITH b AS (SELECT item_id AS request_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{10,}'))) AS value FROM benchmark),
@@ -399,9 +355,10 @@ _TAG_SQL = "SELECT p_partkey, p_size % 3 AS a, p_partkey % 20 AS b, p_size AS c,
 @query(f"SELECT p_partkey, tag, a || '.' || b || '.' || c || CASE WHEN rc IS NULL THEN '' ELSE 'rc' || rc END AS normalized, rc IS NOT NULL AS prerelease, dense_rank() OVER (ORDER BY a, b, c, rc NULLS LAST)::INT AS place FROM ({_TAG_SQL})")
 def version_keys(spark, d):
     rows = read_table(spark, d, "part").withColumn("tag", _TAG())
-    keys = rows.select(ver.version_key(F.col("tag")).alias("k")).distinct().withColumn("place", F.row_number().over(Window.orderBy("k")))
-    rows = rows.withColumn("k", ver.version_key(F.col("tag"))).join(keys, "k")
-    return rows.select("p_partkey", "tag", ver.normalize_version(F.col("tag")).alias("normalized"), ver.is_prerelease(F.col("tag")).alias("prerelease"), "place")
+    tags = rows.select("tag").distinct()
+    tags = tags.select("tag", ver.version_key(F.col("tag")).alias("k"), ver.normalize_version(F.col("tag")).alias("normalized"), ver.is_prerelease(F.col("tag")).alias("prerelease"))
+    keys = placed(tags.select("k").distinct(), "k").withColumn("place", F.col("place").cast("int"))
+    return rows.join(tags.join(keys, "k"), "tag").select("p_partkey", "tag", "normalized", "prerelease", "place")
 
 
 @query(f"SELECT p_partkey, (a, b, c) >= (0, 5, 0) AND ((a, b, c) < (1, 10, 30) OR ((a, b, c) = (1, 10, 30) AND rc IS NOT NULL)) AND NOT ((a, b, c) = (0, 5, 0) AND rc IS NOT NULL) AS inside FROM ({_TAG_SQL})")
@@ -466,8 +423,12 @@ def decision_tree(spark, d):
     k = F.col("o_orderkey")
     verdict = F.when(k % 7 == 0, "hard_contradiction").when(k % 5 == 0, "unresolved_version").when(k % 9 == 1, "possible_contradiction").otherwise("direct_match")
     first, user = F.when(k % 3 != 0, "1.2.0"), F.when(k % 2 == 0, "1.3.0").otherwise("1.1.0")
-    step = decisions.decide(verdict, user, first, history.already_contains(user, first), F.col("o_totalprice") * (decisions.PROBABLE_SCORE / 100000))
-    return read_table(spark, d, "orders").select("o_orderkey", step.alias("x")).select("o_orderkey", "x.*")
+    rows = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice", verdict.alias("verdict"), first.alias("first"), user.alias("user"))
+    # Versions are read once each, not once a row.
+    keys = rows.select(F.explode(F.array("first", "user")).alias("tag")).where("tag IS NOT NULL").distinct().withColumn("k", ver.version_key(F.col("tag")))
+    rows = rows.join(keys.withColumnsRenamed({"tag": "user", "k": "uk"}), "user", "left").join(keys.withColumnsRenamed({"tag": "first", "k": "fk"}), "first", "left")
+    step = decisions.decide(F.col("verdict"), F.col("user"), F.col("first"), F.col("contains"), F.col("o_totalprice") * (decisions.PROBABLE_SCORE / 100000))
+    return rows.withColumn("contains", F.col("uk") >= F.col("fk")).select("o_orderkey", step.alias("x")).select("o_orderkey", "x.*")
 
 
 @query("""SELECT l_orderkey AS request_id, l_linenumber AS claim_id, CASE WHEN o_orderkey IS NULL OR l_orderkey % 4 = 0 THEN ['ev:order:' || l_orderkey] ELSE []::VARCHAR[] END AS missing, o_orderkey IS NOT NULL AND l_orderkey % 4 <> 0 AS supported FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""")
@@ -528,15 +489,16 @@ def holdout_rates(spark, d):
     return evals.holdout(read_table(spark, d, "labels").select(F.col("doc_id").alias("object_id"), good.alias("matched"), toxic.alias("possible"), (good & toxic).alias("proposed")))
 
 
-@query()
+@query("SELECT doc_id FROM documents ORDER BY md5('20260904:' || doc_id), doc_id LIMIT 60")
 def hash_sample(spark, d):
     """A seeded sample: the limit is what it is for."""
     return evals.hash_sample(read_table(spark, d, "documents").select("doc_id"), "doc_id", 20260904, 60)
 
 
-@query()
+@query("""WITH r AS (SELECT sha256(c_custkey::VARCHAR || chr(31) || c_mktsegment || chr(31) || c_name || chr(31) || c_nationkey) AS h FROM customer)
+SELECT count(*) AS rows, sum(('0x' || substr(h, 1, 12))::BIGINT)::HUGEINT::VARCHAR AS low, sum(('0x' || substr(h, 13, 12))::BIGINT)::HUGEINT::VARCHAR AS high FROM r""")
 def table_digest(spark, d):
-    return upsert.digest(read_table(spark, d, "customer"))
+    return upsert.digest(read_table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")).select("rows", F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"))
 
 
 @query()
@@ -544,3 +506,226 @@ def subject_roles(spark, d):
     """Packages, modules and claims that documents and conversations state; no SQL reads language."""
     turns = read_table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     return subjects.classify(read_table(spark, d, "documents").select("doc_id", "text").unionByName(turns))
+
+
+# --- from candidates to an answer -----------------------------------------------------------------------
+
+_FLOW_SQL = SEARCH_SQL + """,
+c0 AS (SELECT request_id, object_id, score AS token_score, unit_hits AS feature_hits, object_id % 7 = 0 AS family_related FROM j),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY family_related DESC, token_score DESC, feature_hits DESC, object_id) AS position FROM c0),
+c2 AS (SELECT * FROM c1 WHERE position <= 8),
+c3 AS (SELECT *, count(*) FILTER (family_related) OVER (PARTITION BY request_id) AS fam, sum(CASE WHEN family_related THEN 0 ELSE 1 END) OVER (PARTITION BY request_id ORDER BY position) AS rest FROM c2),
+c4 AS (SELECT request_id, object_id, token_score, position::INT AS position, family_related, family_related OR rest <= greatest(6 - fam, 0) AS checked FROM c3),
+c5 AS (SELECT *, CASE WHEN NOT checked THEN NULL WHEN object_id % 3 = 0 THEN 'different_subject' WHEN object_id % 3 = 1 THEN 'insufficient_identity_evidence' END AS rejection, checked AND object_id % 3 = 2 AS accepted FROM c4)"""
+
+
+def _flow(spark, d):
+    found = retrieval.search(_units(spark, d), _tokens(spark, d)).select("request_id", "object_id", F.col("score").alias("token_score"), F.col("unit_hits").alias("feature_hits"))
+    packages = read_table(spark, d, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("object_id"), F.lit("@m/core-web").alias("name"))
+    asked = found.select("request_id").distinct().withColumn("name", F.lit("@m/core"))
+    related = history.package_family(asked.select("name").distinct(), packages.select("name").distinct(), retrieval=True)
+    return flow.budgeted(flow.ranked(flow.mark_families(found, packages, asked, related)))
+
+
+def _flow_judged(spark, d):
+    m = F.col("object_id") % 3
+    rows = _flow(spark, d).withColumn("rejection", F.when(F.col("checked") & (m == 0), "different_subject").when(F.col("checked") & (m == 1), "insufficient_identity_evidence"))
+    return rows.withColumn("accepted", F.col("checked") & (m == 2))
+
+
+@query(_FLOW_SQL + " SELECT request_id, object_id, position, family_related, checked FROM c4")
+def budgeted_checks(spark, d):
+    """Candidates of each benchmark item: family first, the best eight, and which of them are checked."""
+    return _flow(spark, d).select("request_id", "object_id", "position", "family_related", "checked")
+
+
+@query(_FLOW_SQL + " SELECT request_id, object_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY token_score DESC, position) AS n FROM c5 WHERE accepted) WHERE n = 1")
+def best_accepted(spark, d):
+    return flow.best_accepted(_flow_judged(spark, d).withColumn("score", F.col("token_score"))).select("request_id", "object_id")
+
+
+@query(_FLOW_SQL + " SELECT request_id, coalesce(rejection, 'not_evaluated') AS rejection, count(*) AS n FROM c5 WHERE NOT accepted GROUP BY ALL")
+def rejection_counts(spark, d):
+    return flow.rejection_counts(_flow_judged(spark, d))
+
+
+@query("""WITH n AS (SELECT DISTINCT '@m/' || (c_custkey % 40) || CASE WHEN c_custkey % 3 = 1 THEN '-web' WHEN c_custkey % 3 = 2 THEN '.js' ELSE '' END AS name, c_custkey % 5 <> 0 AS owned FROM customer),
+o AS (SELECT DISTINCT name FROM n WHERE owned)
+SELECT DISTINCT a.name, b.name AS related FROM o a, o b WHERE a.name <> b.name AND ((starts_with(b.name, a.name) AND substr(b.name, length(a.name) + 1, 1) IN ('-', '/', '.')) OR (starts_with(a.name, b.name) AND substr(a.name, length(b.name) + 1, 1) IN ('-', '/', '.')))""")
+def package_family(spark, d):
+    k = F.col("c_custkey")
+    names = read_table(spark, d, "customer").select(F.concat(F.lit("@m/"), (k % 40).cast("string"), F.when(k % 3 == 1, "-web").when(k % 3 == 2, ".js").otherwise("")).alias("name"), (k % 5 != 0).alias("owned"))
+    return history.package_family(names.select("name"), names.where("owned"))
+
+
+_DAG_SQL = """WITH RECURSIVE e AS (SELECT p_partkey AS sha, unnest([p_partkey // 2, p_partkey // 3]) AS parent FROM part),
+up(start, sha) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT up.start, e.parent FROM up JOIN e ON e.sha = up.sha WHERE e.parent > 0)"""
+
+
+def _dag(spark, d):
+    k = F.col("p_partkey")
+    return read_table(spark, d, "part").select(k.alias("sha"), F.filter(F.array(F.floor(k / 2), F.floor(k / 3)), lambda p: p > 0).alias("parents"))
+
+
+@query(_DAG_SQL + " SELECT start, sha FROM up")
+def merge_ancestry(spark, d):
+    """A history of merges: each part has two parents, so most commits are met on many paths."""
+    commits = _dag(spark, d)
+    return history.ancestors(commits, commits.select(F.col("sha").alias("start")))
+
+
+@query(_DAG_SQL + f""", t AS (SELECT p_partkey, a, b, c, rc, tag FROM ({_TAG_SQL}) WHERE p_partkey % 10 = 0),
+k AS (SELECT up.sha, t.* FROM up JOIN t ON t.p_partkey = up.start),
+r AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY a, b, c, rc NULLS LAST) AS n, CASE WHEN rc IS NULL THEN row_number() OVER (PARTITION BY sha, rc IS NULL ORDER BY a, b, c) END AS m FROM k)
+SELECT sha, max(a || '.' || b || '.' || c || coalesce('rc' || rc, '')) FILTER (n = 1) AS first_release, max(a || '.' || b || '.' || c) FILTER (m = 1) AS first_stable FROM r GROUP BY sha""")
+def first_releases(spark, d):
+    """The first release of those that contain each commit of a history with merges, and the first stable one."""
+    tags = read_table(spark, d, "part").where("p_partkey % 10 = 0").select(_TAG().alias("tag"), F.col("p_partkey").alias("sha"))
+    commits = _dag(spark, d)
+    got = history.first_releases(history.containment(commits, tags, commits))
+    return got.select("sha", ver.normalize_version(F.col("first_release")).alias("first_release"), ver.normalize_version(F.col("first_stable")).alias("first_stable"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS repo, 'key' || (o_orderkey % 50) AS incident_key, o_totalprice AS p FROM orders),
+n AS (SELECT repo AS repo_id, incident_key, max(k) AS updated_at FROM o WHERE k % 3 <> 0 GROUP BY ALL),
+e AS (SELECT repo AS repo_id, incident_key, max(k) AS updated_at FROM o WHERE k % 2 = 0 GROUP BY ALL)
+SELECT coalesce(n.repo_id, e.repo_id) AS repo_id, coalesce(n.incident_key, e.incident_key) AS incident_key, CASE WHEN n.repo_id IS NOT NULL THEN 'sig' || n.updated_at ELSE 'old' || e.updated_at END AS signature, coalesce(n.updated_at, e.updated_at) AS updated_at,
+CASE WHEN e.updated_at % 4 = 0 THEN 'reviewed' ELSE 'derived' END AS review_state, coalesce(e.updated_at % 8 = 0, false) AS runtime_verified FROM n FULL JOIN e ON n.repo_id = e.repo_id AND n.incident_key = e.incident_key""")
+def incident_store(spark, d):
+    """Derived records onto stored ones: reviews stay."""
+    k = F.col("o_orderkey")
+    base = read_table(spark, d, "orders").select(F.col("o_custkey").alias("repo_id"), F.concat(F.lit("key"), (k % 50).cast("string")).alias("incident_key"), k.alias("updated_at"), k.alias("symptom_id"))
+    full = lambda df, mark: df.select("*", F.concat(F.lit(mark), F.col("updated_at").cast("string")).alias("signature"), F.lit("c").alias("fix_commit"), F.lit("1.0").alias("first_release"), F.lit("linked").alias("derivation"), F.lit("high").alias("evidence_level"))
+    old = full(upsert.latest(base.where("updated_at % 2 = 0"), ["repo_id", "incident_key"], ["updated_at"]), "old")
+    old = old.select("*", F.when(F.col("updated_at") % 4 == 0, "reviewed").otherwise("derived").alias("review_state"), (F.col("updated_at") % 8 == 0).alias("runtime_verified"))
+    return flow.store_incidents(old, full(base.where("updated_at % 3 <> 0"), "sig")).select("repo_id", "incident_key", "signature", "updated_at", "review_state", "runtime_verified")
+
+
+@query("""SELECT o_orderkey AS key, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN 'missing_issue_pull_or_release' WHEN o_orderkey % 7 = 0 THEN 'pull_does_not_close_issue' WHEN o_orderkey % 5 = 0 THEN 'merge_commit_changed' WHEN o_orderkey % 3 = 0 THEN 'other_first_release' END AS error FROM orders""")
+def reviewed_incidents(spark, d):
+    """Each order is a reviewed incident; what no longer holds depends on its key."""
+    k = F.col("o_orderkey")
+    rows = read_table(spark, d, "orders").select(k.alias("key"), k.alias("issue"), k.alias("pull"), F.concat(F.lit("m"), k.cast("string")).alias("merge_commit"), F.concat(F.lit("t"), k.cast("string")).alias("first_release"))
+    closes = rows.select("pull", "issue", F.when(F.col("key") % 7 == 0, "text").otherwise("native").alias("derivation"))
+    pulls = rows.where("key % 13 <> 0").select(F.col("pull").alias("number"), F.when(F.col("key") % 5 != 0, F.col("merge_commit")).alias("merge_sha"))
+    firsts = rows.select(F.col("merge_commit").alias("sha"), F.when(F.col("key") % 3 == 0, "t0").otherwise(F.col("first_release")).alias("first_release"))
+    return flow.review_incidents(rows, rows.where("key % 11 <> 0").select(F.col("issue").alias("number")), pulls, rows.where("key % 17 <> 0").select(F.col("first_release").alias("tag")), closes, firsts).select("key", "error")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders)
+SELECT k AS request_id, 'symptom_match' AS type, CASE WHEN p / 20000 >= 12 THEN 'high' ELSE 'medium' END AS confidence, 'observed' AS basis, 1 AS cited FROM m
+UNION ALL SELECT k, 'change', CASE WHEN k % 2 = 0 THEN 'high' ELSE 'medium' END, CASE WHEN k % 2 = 0 THEN 'explicit' ELSE 'inferred' END, 1 FROM m WHERE k % 3 <> 0
+UNION ALL SELECT k, 'released_in', 'high', 'deterministic', CASE WHEN k % 3 <> 0 THEN 2 ELSE 1 END FROM m WHERE k % 5 <> 0
+UNION ALL SELECT k, 'affected_in', 'high', 'deterministic', CASE WHEN k % 3 <> 0 THEN 2 ELSE 1 END FROM m WHERE k % 5 <> 0 AND k % 4 = 1
+UNION ALL SELECT k, 'action', 'medium', 'deterministic', CASE WHEN k % 3 <> 0 THEN 2 ELSE 1 END FROM m WHERE k % 5 <> 0 AND k % 4 = 2
+UNION ALL SELECT k, 'conflict', 'high', 'explicit', 1 FROM m WHERE k % 6 = 0""")
+def claims(spark, d):
+    """Claims of matches whose parts are there or not by the order's key."""
+    k = F.col("o_orderkey")
+    s = k.cast("string")
+    some = lambda cond, kind: F.when(cond, F.array(decisions.evidence_id(kind, s))).otherwise(F.array().cast("array<string>"))
+    rows = read_table(spark, d, "orders").select(
+        k.alias("request_id"), s.alias("symptom"), (F.col("o_totalprice") / 20000).alias("score"), F.when(k % 3 != 0, s).alias("change"), F.when(k % 2 == 0, "linked").otherwise("inferred").alias("derivation"),
+        F.when(k % 5 != 0, "1.2.0").alias("first_release"), F.lit("1.1.0").alias("user_version"), F.when(k % 4 == 1, True).when(k % 4 != 3, False).alias("contains"), (k % 4 == 2).alias("upgrade"),
+        F.when(k % 6 == 0, F.array(F.lit("node"), F.lit("node"))).alias("conflicts"), F.array(decisions.evidence_id("issue", s)).alias("symptom_ids"), some(k % 3 != 0, "commit").alias("change_ids"), some(k % 5 != 0, "release").alias("release_ids"),
+    )
+    return flow.claims(rows).select("request_id", "type", "confidence", "basis", F.size("evidence_ids").alias("cited"))
+
+
+@query("""SELECT l_orderkey AS request_id, l_linenumber AS n, CASE WHEN l_linenumber % 2 = 0 THEN (SELECT min(p_partkey) FROM part WHERE substr(md5(p_partkey::VARCHAR), 1, 12) = substr(md5(l_partkey::VARCHAR), 1, 12)) ELSE p_partkey END AS object_id
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 3 <> 0""")
+def evidence_rows(spark, d):
+    """Cited parts resolved: commits by a prefix of their sha, issues by number."""
+    sha = lambda c: F.md5(F.col(c).cast("string"))
+    cited = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("n"), F.when(F.col("l_linenumber") % 2 == 0, decisions.evidence_id("commit", sha("l_partkey"))).otherwise(decisions.evidence_id("issue", F.col("l_partkey").cast("string"))).alias("evidence_id"))
+    parts = read_table(spark, d, "part")
+    known = parts.select(F.lit("commit").alias("kind"), sha("p_partkey").alias("locator"), F.col("p_partkey").alias("object_id")).unionByName(parts.where("p_partkey % 3 <> 0").select(F.lit("issue").alias("kind"), F.col("p_partkey").cast("string").alias("locator"), F.col("p_partkey").alias("object_id")))
+    return flow.resolve_evidence(cited, known).select("request_id", "n", "object_id")
+
+
+@query("""SELECT p_partkey, [ 'loader' || (p_partkey % 9) || '/internal' || p_partkey || '.ts', 'pkg/loader' || (p_partkey % 9) || '/internal' || p_partkey || '.ts'] || CASE WHEN p_partkey % 2 = 0 THEN ['alpha/core/index.ts'] ELSE []::VARCHAR[] END AS tails_raw, ['a' || p_partkey || '.py', 'internal' || p_partkey || '.ts'] AS names FROM part""".replace("AS tails_raw", "AS tails").replace("SELECT p_partkey, [", "SELECT p_partkey, list_sort([", 1).replace("ELSE []::VARCHAR[] END AS tails", "ELSE []::VARCHAR[] END) AS tails"))
+def symptom_paths(spark, d):
+    """Paths in sentences made of part keys: a generic file name counts only below a name of its own."""
+    k = F.col("p_partkey").cast("string")
+    place = F.concat(F.lit("./Pkg/loader"), (F.col("p_partkey") % 9).cast("string"), F.lit("/internal"), k, F.lit(".ts"))
+    text = F.concat(F.lit("It breaks in "), place, F.lit(" and a"), k, F.lit(".py, see "), F.when(F.col("p_partkey") % 2 == 0, "alpha/core/index.ts").otherwise("src/index.ts"), F.lit(" or notes/readme.md."))
+    tails, names = fn.symptom_paths(text)
+    return read_table(spark, d, "part").select("p_partkey", tails.alias("tails"), names.alias("names"))
+
+
+@query(f"SELECT p_partkey, a || '.' || b || '.' || c || CASE WHEN rc IS NULL THEN '' ELSE 'rc' || rc END AS version, CASE WHEN p_partkey % 3 = 0 THEN a || '.' || b || '.' || c END AS reported, CASE WHEN rc IS NULL THEN a || '.' || b || '.' || c ELSE a || '.' || b || '.' || c || '-rc.' || rc END AS exact FROM ({_TAG_SQL})")
+def tag_names(spark, d):
+    """Tags with a profile's prefix; the version in a report's template field, and nowhere else; exact versions."""
+    rows = read_table(spark, d, "part").withColumn("tag", _TAG())
+    text = F.concat(F.lit("I use 9.9.9 elsewhere.\n"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Release: "), F.regexp_extract("tag", r"v(\d+\.\d+\.\d+)", 1))).otherwise("No field"), F.lit("\nThat is all."))
+    patterns = [r"(?im)^version:\s*v?(\d[\w.]*)", r"(?im)^release:\s*v?(\d[\w.]*)"]
+    return rows.select("p_partkey", ver.normalize_tag(F.concat(F.lit("desktop@"), "tag"), ["web@", "desktop@"]).alias("version"), ver.report_version(text, patterns).alias("reported"), ver.exact_version(F.col("tag")).alias("exact"))
+
+
+@query("""SELECT l_suppkey AS repo_id, 'v' || l_partkey AS tag FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l WHERE l_partkey % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM orders o JOIN lineitem m ON m.l_orderkey = o.o_orderkey WHERE m.l_suppkey = l.l_suppkey AND m.l_partkey = l.l_partkey AND o.o_orderstatus = 'F')""")
+def untagged(spark, d):
+    """Tags (parts of suppliers) that no release (finished order) has; a pattern leaves some out."""
+    lines = read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("repo_id"), F.concat(F.when(F.col("l_partkey") % 4 == 0, "nightly-").otherwise("v"), F.col("l_partkey").cast("string")).alias("tag"), "l_orderkey")
+    done = lines.join(read_table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    return flow.untagged(lines.select("repo_id", "tag").distinct(), done, "^nightly")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def recent_incidents(spark, d):
+    """The last incidents: the limit is what it is for."""
+    return flow.recent(read_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", V.MAX_INCIDENTS, "o_orderkey")
+
+
+@query("SELECT DISTINCT o_orderstatus AS kind, o_orderpriority || (o_custkey % 300) AS value FROM orders ORDER BY 1, 2 LIMIT 500")
+def reference_list(spark, d):
+    return flow.reference_list(read_table(spark, d, "orders").select(F.col("o_orderstatus").alias("kind"), F.concat("o_orderpriority", (F.col("o_custkey") % 300).cast("string")).alias("value")))
+
+
+@query("""SELECT user_id AS repo_id, event_type AS source, max(ts) FILTER (value >= 20) AS watermark, count(*) FILTER (value >= 20) AS objects_seen, max_by(CASE WHEN value < 20 THEN 'failed' ELSE 'complete' END, (ts, event_id)) AS status,
+count(*) FILTER (value < 20 AND (o.at IS NULL OR (ts, event_id) > o.at)) AS consecutive_failures FROM events e LEFT JOIN (SELECT user_id AS u, event_type AS t, max((ts, event_id)) AS at FROM events WHERE value >= 20 GROUP BY ALL) o ON o.u = e.user_id AND o.t = e.event_type GROUP BY ALL""")
+def sync_bookkeeping(spark, d):
+    """Runs of sources, told twice: replays count once, failures since the last success are counted."""
+    ev = read_table(spark, d, "events")
+    log = ev.select(F.col("user_id").alias("repo_id"), F.col("event_type").alias("source"), F.col("event_id").alias("run_id"), F.struct("ts", "event_id").alias("at"), F.col("ts").alias("watermark"), F.lit(1).alias("objects_seen"), F.when(F.col("value") < 20, "failed").otherwise("complete").alias("status"), F.lit(False).alias("full"), F.lit("x").alias("error"), F.create_map(F.lit("seen"), F.lit("1")).alias("stats"))
+    return upsert.sync_totals(upsert.sync_log(log, log.where("run_id % 2 = 0"))).select("repo_id", "source", "watermark", "objects_seen", "status", "consecutive_failures")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, list_extract(['incident', 'paraphrase', 'negative', 'regression', 'perturbation'], (o_orderkey % 5)::INT + 1) AS kind, o_orderkey % 7 <> 0 AS passed, o_orderkey % 41 = 0 AS gap, o_orderkey % 13 = 0 AS matched, CASE WHEN o_orderkey % 3 = 0 THEN 'upgrade' WHEN o_orderkey % 3 = 1 THEN 'abstain' ELSE 'collect_more_info' END AS action, CASE WHEN o_orderkey % 2 = 0 THEN 'hard_contradiction' ELSE 'direct_match' END AS app FROM orders),
+n AS (SELECT *, kind IN ('negative', 'regression') AS neg, kind = 'perturbation' AS pert, action <> 'upgrade' AS held, kind NOT IN ('negative', 'regression') AND NOT gap AS act FROM r)
+SELECT round(count(*) FILTER (act AND passed) / count(*) FILTER (act), 4) AS action_at_1, round(count(*) FILTER (neg AND matched) / count(*) FILTER (neg), 4) AS false_incident, round(count(*) FILTER (neg AND NOT held) / count(*) FILTER (neg), 4) AS unsafe_negative, round(count(*) FILTER (pert AND app = 'hard_contradiction' AND NOT held) / count(*) FILTER (pert AND app = 'hard_contradiction'), 4) AS unsafe_contradiction,
+round(count(*) FILTER (neg AND held) / count(*) FILTER (held), 4) AS abstention_precision, round(count(*) FILTER (neg AND held) / count(*) FILTER (neg), 4) AS abstention_recall, round(count(*) FILTER (pert AND passed) / count(*) FILTER (pert), 4) AS version_verdict, round(sum(CASE WHEN k % 10 = 0 THEN 1 ELSE 2 END) / sum(2), 4) AS citation_validity, round(count(*) FILTER (k % 10 <> 0) / count(*), 4) AS claim_support, count(*) FILTER (gap) AS gaps FROM n""")
+def suite_rates(spark, d):
+    """The rates of a suite over results made of order keys."""
+    k = F.col("o_orderkey")
+    kinds = F.array(*[F.lit(x) for x in ("incident", "paraphrase", "negative", "regression", "perturbation")])
+    rows = read_table(spark, d, "orders").select(
+        F.element_at(kinds, (k % 5 + 1).cast("int")).alias("kind"), (k % 7 != 0).alias("passed"), (k % 41 == 0).alias("known_gap"), (k % 13 == 0).alias("matched"), F.when(k % 3 == 0, "upgrade").when(k % 3 == 1, "abstain").otherwise("collect_more_info").alias("action"),
+        F.when(k % 2 == 0, "hard_contradiction").otherwise("direct_match").alias("applicability"), F.lit(2).alias("cited"), F.when(k % 10 == 0, 1).otherwise(2).alias("resolved"),
+    )
+    return evals.suite(rows)
+
+
+@query("""SELECT count(DISTINCT doc_id % 3) AS seeds, count(*) AS reports, count(DISTINCT doc_id) AS distinct_reports, round(count(*) FILTER (quality = 1) / count(*), 4) AS match_rate, count(*) FILTER (toxic = 1) AS opportunities, count(*) FILTER (toxic = 1 AND quality = 1) AS proposals,
+round(count(*) FILTER (toxic = 1 AND quality = 1) / count(*), 4) AS overall, round(count(*) FILTER (toxic = 1 AND quality = 1)::DOUBLE / nullif(count(*) FILTER (toxic = 1), 0), 4) AS conditional FROM (SELECT * FROM labels UNION ALL SELECT * FROM labels)""")
+def pooled_holdout(spark, d):
+    """Every label drawn twice: reports are counted by draw and once."""
+    rows = read_table(spark, d, "labels").select(F.col("doc_id").alias("object_id"), (F.col("doc_id") % 3).alias("seed"), (F.col("quality") == 1).alias("matched"), (F.col("toxic") == 1).alias("possible"), ((F.col("toxic") == 1) & (F.col("quality") == 1)).alias("proposed"))
+    return evals.pooled(rows.unionByName(rows))
+
+
+@query()
+def diagnosis(spark, d):
+    """The flow end to end: benchmark items as reports against all documents, from text to features, both channels,
+    the identity gate with the stated view, the accepted incident and its claims. Tested against fixtures."""
+    docs, items = read_table(spark, d, "documents").select("doc_id", "text"), read_table(spark, d, "benchmark")
+    items = items.select(F.xxhash64("item_id").alias("doc_id"), "text")
+    have, want = flow.extract(docs), flow.extract(items)
+    strings = lambda df: df.where("view = 'all'").drop("view")
+    tokens = _query_tokens(items, "doc_id")
+    found = retrieval.search(_units(spark, d), tokens).where("rejection IS NULL")
+    shared = retrieval.feature_channel(strings(have), strings(want).withColumnRenamed("object_id", "request_id"))
+    merged = retrieval.merge_channels(found, shared, limit=1_000_000).withColumn("family_related", F.lit(False)).select("request_id", "object_id", "token_score", "feature_hits", "family_related")
+    ranked = flow.ranked(merged)
+    objects = flow.sides(have.join(ranked.select("object_id").distinct(), "object_id", "left_semi"))
+    judged = flow.identify(ranked, flow.sides(want).withColumnRenamed("object_id", "request_id"), objects, signatures.frequencies(strings(have)), docs.count())
+    return judged.select("request_id", "object_id", "position", "checked", "rejection", "rule", "score", "accepted")

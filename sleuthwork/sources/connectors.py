@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import os
+import platform
 import re
+import subprocess
 import time
 import urllib.error
 import urllib.request
@@ -54,6 +56,123 @@ def http_page(url: str, cursor: str | None, token: str | None = None) -> tuple[i
         return e.code, {}, float(after) if after and after.isdigit() else None
 
 
+def graphql(url: str, query: str, variables: dict, token: str | None = None) -> tuple[int, dict, float | None]:
+    """One POST of a query: status, data, seconds to the reset that the answer tells where the budget is spent."""
+    body = json.dumps({"query": query, "variables": variables}).encode()
+    request = urllib.request.Request(url, body, {"Content-Type": "application/json", **({"Authorization": f"Bearer {token}"} if token else {})})
+    try:
+        with urllib.request.urlopen(request, timeout=30) as r:
+            answer = json.load(r)
+            left, reset = r.headers.get("X-RateLimit-Remaining"), r.headers.get("X-RateLimit-Reset")
+    except urllib.error.HTTPError as e:
+        after = e.headers.get("Retry-After")
+        return e.code, {}, float(after) if after and after.isdigit() else None
+    if answer.get("errors"):
+        spent = left == "0" or any(x.get("type") == "RATE_LIMITED" for x in answer["errors"])
+        return (429 if spent else 400), {}, max(0.0, float(reset) - time.time()) if spent and reset else None
+    return 200, answer.get("data") or {}, None
+
+
+def drain(fetch: Callable[[str], dict], cursor: str | None, budget: int = 20) -> tuple[list[dict], bool]:
+    """What is left of a thread's comments from a cursor on, in at most ``budget`` pages; whether that was all."""
+    found: list[dict] = []
+    for _ in range(budget):
+        if not cursor:
+            break
+        body = fetch(cursor)
+        found += body.get("nodes", [])
+        cursor = body.get("next")
+    return found, not cursor
+
+
+def lookup(fetch: Callable[[str, int], dict], kind: str, number: int) -> dict | None:
+    """One work item by kind and number; None where there is none."""
+    if kind not in ("issue", "pull_request"):
+        raise ValueError(kind)
+    node = fetch(kind, number)
+    return {**node, "kind": kind} if node else None
+
+
+def run_sources(sources: dict[str, Callable[[], Iterator[tuple[list[dict], str | None, str]]]], sink: Callable[[str, list[dict]], None], clock: Callable[[], float] = time.time) -> list[dict]:
+    """Read several sources one after the other; one that fails doesn't stop the rest.
+
+    A row a source: source, status, objects_seen, cursor, error, seconds. A walk that ends before the source does
+    (``capped`` or ``budget``) is ``degraded``, and its cursor is where the next run goes on.
+    """
+    rows = []
+    for name, walk in sources.items():
+        began, seen, cursor, state, error = clock(), 0, None, "complete", None
+        try:
+            for nodes, cursor, state in walk():
+                sink(name, nodes)
+                seen += len(nodes)
+        except Exception as e:  # noqa: BLE001  the failure is the source's row
+            error = str(e)
+        status = "failed" if error is not None else "complete" if state == "complete" else "degraded"
+        rows.append({"source": name, "status": status, "objects_seen": seen, "cursor": cursor if status != "complete" else None, "error": error, "seconds": clock() - began})
+    return rows
+
+
+def git(root: str, *args: str) -> str:
+    """Output of git in a repository; an error if it fails."""
+    done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=False)
+    if done.returncode:
+        raise OSError(done.stderr.strip() or f"git {args[0]} failed")
+    return done.stdout
+
+
+def mirror(url: str, path: str) -> str:
+    """A mirror without blobs: made on the first call, brought up to date (and pruned) on later ones."""
+    if os.path.isdir(path):
+        git(path, "remote", "update", "--prune")
+        return "updated"
+    done = subprocess.run(["git", "clone", "--mirror", "--filter=blob:none", url, path], capture_output=True, text=True, check=False)
+    if done.returncode:
+        raise OSError(done.stderr.strip())
+    return "cloned"
+
+
+def git_tags(root: str) -> list[dict]:
+    """Tags with the commit that they, or the tag objects they name, stand for."""
+    form = "%(refname:short)%1f%(objectname)%1f%(*objectname)%1f%(creatordate:unix)"
+    rows = [line.split("\x1f") for line in git(root, "for-each-ref", f"--format={form}", "refs/tags").splitlines()]
+    return [{"tag": t, "sha": peeled or sha, "tagged_at": int(at) if at else None} for t, sha, peeled, at in rows]
+
+
+def git_commits(root: str, span: str = "--all") -> list[str]:
+    """Lines as ``payloads.git_log`` reads them, of all commits or of a range (a..b): sha, parents, time, subject, files."""
+    out = []
+    for entry in git(root, "log", span, "--name-only", "--pretty=format:%x1e%H%x1f%P%x1f%ct%x1f%s").split("\x1e")[1:]:
+        head, _, files = entry.partition("\n")
+        out.append("\x1f".join([head, "\t".join(f for f in files.splitlines() if f)]))
+    return out
+
+
+def git_tree(root: str, ref: str = "HEAD") -> list[dict]:
+    """Files of a tree: path and blob."""
+    rows = [x.partition("\t") for x in git(root, "ls-tree", "-r", "-z", ref).split("\0") if x]
+    return [{"path": path, "blob": head.split()[2]} for head, _, path in rows if head.split()[1] == "blob"]
+
+
+def git_show(root: str, what: str) -> str | None:
+    """A blob, or ``ref:path``; None where it isn't there."""
+    try:
+        return git(root, "show", what)
+    except OSError:
+        return None
+
+
+def git_changed(root: str, old: str, new: str) -> list[str]:
+    """Paths that differ between two commits."""
+    return [p for p in git(root, "diff", "--name-only", "-z", old, new).split("\0") if p]
+
+
+def git_manifests(root: str, repo_id: int, ref: str = "HEAD", limit: int = 400) -> list[dict]:
+    """The package manifests of a tree, as rows that ``payloads.manifests`` reads; at most ``limit``, as the source has it."""
+    paths = [f for f in git_tree(root, ref) if re.search(r"(^|/)package\.json$", f["path"]) and "node_modules/" not in f["path"]][:limit]
+    return [{"repo_id": repo_id, "path": f["path"], "value": git_show(root, f["blob"]) or ""} for f in paths]
+
+
 def pages(fetch: Callable[[str | None], dict], start: str | None = None, updated_after: str | None = None, max_items: int | None = None, page_budget: int | None = None) -> Iterator[tuple[list[dict], str | None, str]]:
     """(nodes, next cursor, state) page by page; state is more, complete, capped or budget.
 
@@ -167,3 +286,18 @@ def inspect_workspace(root: str, limit: int = 2 << 20) -> list[dict]:
     except (OSError, ValueError):
         pass
     return rows
+
+
+def workspace_facts(root: str, run: Callable[[list[str]], str] | None = None) -> dict:
+    """Where a workspace comes from and what it runs on: origin, runtimes (name, version), system."""
+    run = run or (lambda args: subprocess.run(args, capture_output=True, text=True, timeout=10, check=True).stdout)
+
+    def said(args: list[str]) -> str | None:
+        try:
+            return run(args).strip() or None
+        except (OSError, subprocess.SubprocessError):
+            return None
+
+    versions = {name: said([name, "--version"]) for name in ("node", "python3", "deno", "bun")}
+    found = {n: re.search(r"\d+(?:\.\d+)+", v) for n, v in versions.items() if v}
+    return {"origin": said(["git", "-C", root, "remote", "get-url", "origin"]), "runtimes": {n: m.group() for n, m in found.items() if m}, "system": platform.system().lower()}

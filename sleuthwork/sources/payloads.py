@@ -47,9 +47,10 @@ def work_items(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, closes
 
 
-def releases(nodes: DataFrame, ignore: str | None = None) -> DataFrame:
-    """Releases without drafts' dates; tags that match ``ignore`` are left out."""
+def releases(nodes: DataFrame, ignore: str | None = None, drafts: bool = False) -> DataFrame:
+    """Releases; drafts are left out unless asked for, and so are tags that match ``ignore``."""
     rows = nodes.select(F.col("tagName").alias("tag"), "isPrerelease", "isDraft", timestamp("publishedAt").alias("published_at"), F.col("tagCommit.oid").alias("sha"))
+    rows = rows if drafts else rows.where(~F.coalesce("isDraft", F.lit(False)))
     return rows.where(~F.col("tag").rlike(ignore)) if ignore else rows
 
 

@@ -15,7 +15,7 @@ def _documents(spark, tmp_path, texts, table="documents"):
 def test_identity_judges_later_documents(spark, tmp_path):
     shared = "alphabeticalorder betacarotenelike"
     d = _documents(spark, tmp_path, ["head\nnothing here", f"head\n{shared} one", f"head\ntwo {shared}", f"head\n{shared} one"])
-    got = {(r["query_id"], r["candidate_id"]): r["accepted"] for r in engine.QUERIES["identity_cascade_all"](spark, d).collect()}
+    got = {(r["query_id"], r["candidate_id"]): r["accepted"] for r in engine.QUERIES["identity_cascade"](spark, d).collect()}
     assert got == {(1, 2): False, (1, 3): False, (1, 4): False, (2, 3): True, (2, 4): True, (3, 4): True}
 
 
@@ -23,21 +23,21 @@ def test_leave_one_out_asks_every_twentieth(spark, tmp_path):
     texts = ["filler words only"] * 20
     texts[6] = texts[19] = "zebracrossing here"
     d = _documents(spark, tmp_path, texts)
-    got = [(r["request_id"], r["object_id"], r["matched"]) for r in engine.QUERIES["leave_one_out_all"](spark, d).collect()]
+    got = [(r["request_id"], r["object_id"], r["matched"]) for r in engine.QUERIES["leave_one_out"](spark, d).collect()]
     assert got == [(20, 7, 1)]
 
 
 def test_thread_rollup_takes_every_opening_turn(spark, tmp_path):
     rows = [(3, 0, "user", "zebracrossing"), (3, 1, "assistant", "a zebracrossing"), (10, 0, "user", "waterfalls")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r["thread"]: (r["matched"], r["unit_hits"]) for r in engine.QUERIES["thread_rollup_all"](spark, str(tmp_path)).collect()}
+    got = {r["thread"]: (r["matched"], r["unit_hits"]) for r in engine.QUERIES["thread_rollup"](spark, str(tmp_path)).collect()}
     assert got == {3000: (1, 2), 10000: (1, 1)}
 
 
 def test_redaction_needs_no_address(spark, tmp_path):
     texts = ["password: hunter22", "api_key=abc123def x", "secret='s3cr3t!!'", "cookie: abcdefgh", "token: abcdefgh", "ghp_abcdefghijklmnop1234", "sk-abcdefghijklmnop1234 z", "xoxb-1234567890ab",
              "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2Q", "/home/bob/x and /Users/eve/y", "C:\\Users\\bob\\z", "nothing", "", None, "a@b.org token=abcdefgh"]
-    got = {r["doc_id"]: r["redacted"] for r in engine.QUERIES["redact_documents_all"](spark, _documents(spark, tmp_path, texts)).collect()}
+    got = {r["doc_id"]: r["redacted"] for r in engine.QUERIES["redact_documents"](spark, _documents(spark, tmp_path, texts)).collect()}
     want = {}
     for i, text in enumerate(texts, 1):
         for pattern, by in V.REDACTIONS:
@@ -51,7 +51,7 @@ def test_redaction_needs_no_address(spark, tmp_path):
 def test_excerpts_of_short_tokens(spark, tmp_path):
     d = _documents(spark, tmp_path, ["a giraffe walks\ngiraffe"])
     spark.createDataFrame([(1, "giraffe")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert [tuple(r) for r in engine.QUERIES["best_excerpt_all"](spark, d).collect()] == [(1, "giraffe", "giraffe")]
+    assert [tuple(r) for r in engine.QUERIES["best_excerpt"](spark, d).collect()] == [(1, "giraffe", "giraffe")]
 
 
 def test_ancestors_meet_a_merge_once(spark):
