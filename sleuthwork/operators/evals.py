@@ -16,12 +16,12 @@ def rate(hits: Column, of: Column) -> Column:
 
 
 def latencies(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """Median, 95th value (the one at int(0.95 n) of the sorted ones) and maximum."""
-    values = F.array_sort(F.collect_list(column))
-    out = df.groupBy(*keys).agg(F.percentile(column, 0.5).alias("p50"), values.alias("_v"), F.max(column).alias("max"))
-    n = F.size("_v")
-    at = F.floor(n * F.lit(0.95)).cast("int")
-    return out.withColumn("p95", F.when(n == 0, None).when(at == 0, F.element_at("_v", -1)).otherwise(F.get("_v", at - 1))).drop("_v")
+    """Median, 95th value (the one at int(0.95 n) of the sorted ones) and maximum per group; groups without a
+    value are left out. No group's values are gathered in a list."""
+    if not keys:
+        return latencies(df.withColumn("_all", F.lit(1)), column, "_all").drop("_all")
+    ends = exact_quantile(df, column, *keys).withColumnRenamed("value", "p95")
+    return df.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.percentile(column, 0.5).alias("p50"), F.max(column).alias("max")).join(ends, list(keys))
 
 
 def exact_quantile(df: DataFrame, column: str, *keys: str, share: float = 0.95) -> DataFrame:

@@ -230,5 +230,6 @@ def two_pass(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int
         raise ValueError("too many module names for a broadcast")
     if not names:
         return first
-    again = df.where(F.arrays_overlap(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z][a-z0-9]*(?:-[a-z0-9]+){1,4}\b"), F.lit(0)), F.array(*[F.lit(n) for n in names])))
+    named = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z][a-z0-9]*(?:-[a-z0-9]+){1,4}\b"), F.lit(0))).alias("module"))
+    again = df.join(named.join(module_names(first), "module", "left_semi").select(key).distinct(), key, "left_semi")
     return first.unionByName(classify(again, key, text, names)).distinct()

@@ -469,9 +469,7 @@ def eval_rates(spark, d):
 @query("""WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS n, count(*) OVER (PARTITION BY event_type) AS c FROM events WHERE value IS NOT NULL)
 SELECT event_type, median(value) AS p50, max(value) AS max, max(value) FILTER (n = greatest(floor(c * 0.95), 1)) AS p95 FROM e GROUP BY event_type""")
 def latency_percentiles(spark, d):
-    ev = read_table(spark, d, "events").where("value IS NOT NULL")
-    ends = evals.exact_quantile(ev, "value", "event_type").withColumnRenamed("value", "p95")
-    return ev.groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.max("value").alias("max")).join(ends, "event_type")
+    return evals.latencies(read_table(spark, d, "events"), "value", "event_type").select("event_type", "p50", "max", "p95")
 
 
 @query("""WITH g AS (SELECT d.source, count(*) AS n, sum(toxic) AS k FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source), w AS (SELECT source, n, k, k / n AS p, 1.959963984540054 AS z FROM g)
