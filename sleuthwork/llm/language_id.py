@@ -175,9 +175,11 @@ def samples(docs: DataFrame) -> dict[str, bytes]:
     order = F.xxhash64(F.lit("language"), F.col("doc_id"))
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     ranked = usable.select(F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, TEXT_CHARS).alias("text"), order.alias("h"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"))
-    # About as many rows of each label as the sample needs, by a bound on the hash.
-    counts = usable.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("_sw_c"))
-    near = ranked.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.least(F.lit(1.0), 2.0 * SAMPLE_ROWS / F.col("_sw_c")) * float(1 << 30)).drop("_sw_c")
+    # About as many rows of each label as the sample needs, by a bound on the hash, before anything is moved.
+    counts = usable.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("_sw_c")).collect()
+    table = docs.sparkSession.createDataFrame([tuple(r) for r in counts], "lang string, _sw_c long")
+    table = F.broadcast(table) if len(counts) <= 100_000 else table  # one row a label
+    near = ranked.join(table, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.least(F.lit(1.0), 2.0 * SAMPLE_ROWS / F.col("_sw_c")) * float(1 << 30)).drop("_sw_c")
     w = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "d", "text")
     rows = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SAMPLE_ROWS)
     # Rows go on while the bytes before them are below the bound.
