@@ -149,8 +149,9 @@ def mix(rows: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     out = out.withColumn("_sw_s", F.col("_sw_before") + F.col("_sw_in")).withColumn("_sw_e", F.col("_sw_s") + F.col("_sw_size"))
     p = F.col("_sw_p")
     numbers = F.when(F.col("_sw_size") > 0, F.sequence(F.floor(F.col("_sw_s") / BLOCK), F.floor((F.col("_sw_e") - 1) / BLOCK))).otherwise(F.array().cast("array<bigint>"))
-    # (a * j + c) mod blocks in decimals: the product may not fit 64 bits.
-    place = lambda j: F.pmod(p["a"].cast("decimal(19,0)") * j.cast("decimal(18,0)") + p["c"], p["blocks"].cast("decimal(19,0)")).cast("long")
+    # (a * j + c) mod blocks: in decimals where the product may not fit 64 bits.
+    wide = lambda j: F.pmod(p["a"].cast("decimal(19,0)") * j.cast("decimal(18,0)") + p["c"], p["blocks"].cast("decimal(19,0)")).cast("long")
+    place = lambda j: F.when(p["blocks"] < 3_000_000_000, F.pmod(p["a"] * j + p["c"], p["blocks"])).otherwise(wide(j))
     block = lambda j: F.struct(place(j).alias("at"), (F.greatest(j * BLOCK, F.col("_sw_s")) - F.col("_sw_s")).alias("from"), (F.least((j + 1) * BLOCK, F.col("_sw_e")) - F.col("_sw_s")).alias("to"))
     out = out.withColumn("_sw_blocks", F.transform(numbers, block))
     # Block at place x of the order is taken at x, x + blocks, ...: so often below the place ``end``.
@@ -158,7 +159,7 @@ def mix(rows: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     got = lambda end: F.aggregate("_sw_blocks", F.lit(0).cast("long"), lambda acc, b: acc + times(end, b["at"]) * (b["to"] - b["from"]))
     out = out.withColumn("_sw_sums", F.transform(p["ends"], got))
     words = F.transform("_sw_sums", lambda x, i: x - F.when(i > 0, F.get("_sw_sums", i - 1)).otherwise(0))
-    return out.select("*", p["source_size"].alias("source_size"), p["target"].alias("target"), F.coalesce(F.element_at("_sw_sums", -1), F.lit(0)).alias("taken"), words.alias("shard_words"))
+    return out.select("*", p["source_size"].alias("source_size"), p["target"].alias("target"), F.coalesce(got(F.element_at(p["ends"], -1)), F.lit(0)).alias("taken"), words.alias("shard_words"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
