@@ -16,27 +16,48 @@ TAIL3, TAIL2, BASENAME, PER_TOKEN, MIN_CHANGE_SCORE, MAX_FILES = 4.0, 2.0, 0.5,
 FIX_SUBJECT = r"(?i)\b(fix(e[sd])?|bug|resolve[sd]?|repair|correct|prevent|avoid|handle|guard)\b"
 
 
+#: Levels that are taken at one stride before it doubles, the longest stride, and the most pairs an edge that a
+#: stride's table may have for it to double again.
+LEVELS, MAX_STRIDE, SPREAD = 4, 64, 256
+
+
 def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, sha``: every commit reachable from a start by parents, itself included.
 
-    A frontier is joined with the parent edges until it brings no new (start, sha); each level is written
-    once, so a pair that several paths lead to is met once and neither rows nor levels are limited.
+    A frontier goes up by strides until it brings no new (start, sha). A stride has two tables of (sha, parent):
+    what is exactly so many edges up, the next frontier, and what is within. It doubles as long as the
+    history goes on, by joining the tables with themselves, so ten thousand levels take some two hundred
+    turns. Only frontiers are compared with earlier ones: of a pair that was one before, all ancestors are met.
     """
     spark = commits.sparkSession
-    # The same folder for all levels: what is known is one table to read.
     root = f"{shared(spark)}/sleuthwork/ancestors-{uuid.uuid4().hex}"
-    edges = f"{root}/edges"
-    commits.select("sha", F.explode("parents").alias("parent")).where("parent IS NOT NULL").distinct().write.parquet(edges)
-    edge = spark.read.parquet(edges)
-    levels = [f"{root}/levels/n=0"]
-    starts.select("start", F.col("start").alias("sha")).distinct().write.parquet(levels[0])
-    schema = spark.read.parquet(levels[0]).schema
-    while not spark.read.schema(schema).parquet(levels[-1]).isEmpty():
-        up = spark.read.schema(schema).parquet(levels[-1]).join(edge, "sha").select("start", F.col("parent").alias("sha")).distinct()
-        known = spark.read.schema(schema).parquet(*levels)
-        levels.append(f"{root}/levels/n={len(levels)}")
-        up.join(known, ["start", "sha"], "left_anti").write.parquet(levels[-1])
-    return spark.read.schema(schema).parquet(*levels)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    def above(low: DataFrame, high: DataFrame) -> DataFrame:
+        return low.withColumnRenamed("parent", "_mid").join(high.select(F.col("sha").alias("_mid"), "parent"), "_mid").select("sha", "parent")
+
+    exact = within = written(commits.select("sha", F.explode("parents").alias("parent")).where("sha IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
+    most, stride = SPREAD * exact.count(), 1
+    first = starts.select("start", F.col("start").alias("sha")).distinct()
+    frontier, found, seen = written(first, "frontier-0"), [], [f"{root}/frontier-0"]
+    while not frontier.isEmpty():
+        n = len(seen)
+        if n % LEVELS == 0 and stride < MAX_STRIDE and within.count() <= most:
+            stride *= 2
+            within = written(within.unionByName(above(exact, within)).distinct(), f"within-{stride}")
+            exact = written(above(exact, exact).distinct(), f"exact-{stride}")
+        up = lambda table: frontier.join(table, "sha").select("start", F.col("parent").alias("sha")).distinct()  # noqa: E731, B023
+        if stride > 1:
+            up(within).write.parquet(f"{root}/found-{n}")
+            found.append(f"{root}/found-{n}")
+        known = spark.read.schema(first.schema).parquet(*seen)
+        frontier = written(up(exact).join(known, ["start", "sha"], "left_anti"), f"frontier-{n}")
+        seen.append(f"{root}/frontier-{n}")
+    every = spark.read.schema(first.schema).parquet(*seen, *found)
+    return every.distinct() if found else every
 
 
 def containment(commits: DataFrame, tags: DataFrame, wanted: DataFrame) -> DataFrame:

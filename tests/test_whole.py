@@ -60,3 +60,27 @@ def test_ancestors_meet_a_merge_once(spark):
     commits = spark.createDataFrame(rows, "sha string, parents array<string>")
     got = history.ancestors(commits, spark.createDataFrame([("m0",)], "start string")).collect()
     assert len(got) == len({r["sha"] for r in got}) == 67
+
+
+def test_ancestors_of_a_long_history(spark, monkeypatch):
+    # Strides double often, or stop doubling early; branches of unequal length meet again.
+    rows = {i: [i + 1] for i in range(150)} | {150: []}
+    for i in range(0, 140, 7):
+        rows[i] = [i + 1, 1000 + i]
+        rows[1000 + i] = [i + 5]
+    commits = spark.createDataFrame([(f"c{k}", [f"c{p}" for p in v]) for k, v in rows.items()] + [("lone", None), (None, ["c1"])], "sha string, parents array<string>")
+    starts = ["c0", "c3", "c75", "c1007", "c150", "lone", "gone"]
+    want = set()
+    for start in starts:
+        todo, met = [start], {start}
+        while todo:
+            k = todo.pop()
+            up = {f"c{p}" for p in rows.get(int(k[1:]), ())} if k[1:].isdigit() else set()
+            todo += up - met
+            met |= up
+        want |= {(start, k) for k in met}
+    for levels, spread in ((2, 256), (4, 3)):
+        monkeypatch.setattr(history, "LEVELS", levels)
+        monkeypatch.setattr(history, "SPREAD", spread)
+        got = [tuple(r) for r in history.ancestors(commits, spark.createDataFrame([(s,) for s in [*starts, "c0"]], "start string")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
