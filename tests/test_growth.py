@@ -2,7 +2,7 @@
 
 import pandas as pd
 
-from sleuthwork.operators import identity
+from sleuthwork.operators import content, identity, retrieval, tables
 from sleuthwork.plans import queries as engine
 from tests.oracle import same
 
@@ -23,3 +23,61 @@ def test_identity_judges_only_sides_that_share(spark, tmp_path, monkeypatch):
     same(spark, d, "identity_cascade", engine.QUERIES, engine.SQL)
     same(spark, d, "identity_score", engine.QUERIES, engine.SQL)
     assert max(judged) <= 3 * len(letters)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+WORDS = ["alphabet", "betamax", "gammaray", "deltawing", "epsilon", "zetaform"]
+
+
+def _channel(spark, n=40):
+    rows = [(i, f"{WORDS[i % 6]} {WORDS[i * i % 6]}s\n" * 2 + f"un{WORDS[i % 5]} short\n{WORDS[i % 3].upper()}") for i in range(n)]
+    units = content.line_units(spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"]))).repartition(3)
+    return rows, units
+
+
+def _hits(rows, tokens):
+    return {(i, t): n for i, text in rows for t in tokens if (n := sum(t in line.lower() for line in text.split("\n")))}
+
+
+def test_hits_are_moved_once_and_words_are_not(spark, monkeypatch):
+    rows, units = _channel(spark)
+    tokens = spark.createDataFrame([(w,) for w in WORDS[:4]], "token string")
+    got = retrieval.token_hits(units, tokens)
+    assert _plan(got).count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in _plan(got)
+    want = _hits(rows, WORDS[:4])
+    assert {(r["object_id"], r["token"]): r["unit_hits"] for r in got.collect()} == want
+    monkeypatch.setattr(tables, "SENT", 0)  # what is too large to be sent is joined
+    assert {(r["object_id"], r["token"]): r["unit_hits"] for r in retrieval.token_hits(units, tokens).collect()} == want
+
+
+def test_census_adds_up_where_hits_lie(spark, monkeypatch):
+    rows, units = _channel(spark)
+    asked = spark.createDataFrame([(i, w) for i in (0, 20) for w in WORDS[:3]], "request_id long, token string")
+    whole = retrieval.leave_one_out(units, asked)
+    # Objects of the hits, and the counting of objects; the pairs are not dealt again.
+    assert "hashpartitioning(request_id" not in _plan(whole)
+    key = lambda df: sorted((r["request_id"], r["object_id"], r["score"], r["matched"]) for r in df.collect())
+    monkeypatch.setattr(tables, "SENT", 2)
+    assert key(retrieval.leave_one_out(units, asked)) == key(whole) and whole.count() > 20
+
+
+def test_top_is_that_of_the_search_and_kept_by_each_task(spark):
+    _, units = _channel(spark)
+    rare = units.selectExpr("object_id", "seq", "unit_type", "CASE WHEN object_id IN (3, 7, 11) THEN text || ' uncommonerror rarefication oddwording strangeness' ELSE text END AS text")
+    asked = spark.createDataFrame([(1, t) for t in ("uncommonerror", "rarefication", "oddwording", "strangeness", "alphabet")], "request_id long, token string")
+    top = retrieval.search_top(rare, asked, limit=2)
+    assert "WindowGroupLimit" in _plan(top)
+    want = retrieval.top(retrieval.search(rare, asked), 2)
+    pick = lambda df: sorted((r["request_id"], r["object_id"], r["score"], r["rank"]) for r in df.collect())
+    assert pick(top) == pick(want) and len(pick(want)) == 2
+
+
+def test_excerpts_of_plain_tokens_need_no_pattern_per_row(spark):
+    _, units = _channel(spark)
+    wanted = spark.createDataFrame([(1, "BETA"), (1, "be_a"), (2, "gamma%s"), (3, "nothere")], "object_id long, token string")
+    got = {(r["object_id"], r["token"]): r["excerpt"] for r in retrieval.best_excerpt(units, wanted).collect()}
+    assert got == {(1, "BETA"): "BETAMAX", (1, "be_a"): "BETAMAX", (2, "gamma%s"): "ungammaray short"}
+    assert "Contains" in _plan(retrieval.best_excerpt(units, wanted))
