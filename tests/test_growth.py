@@ -1,8 +1,11 @@
 """Steps whose work has to grow with the input, not with the square of a group."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from sleuthwork.operators import content, identity, retrieval, tables
+from sleuthwork.functions import fixed as V
+from sleuthwork.functions import text as fn
+from sleuthwork.operators import content, flow, identity, retrieval, signatures, tables
 from sleuthwork.plans import queries as engine
 from tests.oracle import same
 
@@ -81,3 +84,41 @@ def test_excerpts_of_plain_tokens_need_no_pattern_per_row(spark):
     got = {(r["object_id"], r["token"]): r["excerpt"] for r in retrieval.best_excerpt(units, wanted).collect()}
     assert got == {(1, "BETA"): "BETAMAX", (1, "be_a"): "BETAMAX", (2, "gamma%s"): "ungammaray short"}
     assert "Contains" in _plan(retrieval.best_excerpt(units, wanted))
+
+
+def test_family_is_marked_without_a_request_in_one_task(spark):
+    found = spark.createDataFrame([(r, o, 1.0, 1) for r in (1, 2) for o in range(5)], "request_id long, object_id long, token_score double, feature_hits long")
+    packages = spark.createDataFrame([(0, "@m/core-web"), (1, "@m/other"), (1, None), (2, "@m/core")], "object_id long, name string")
+    asked = spark.createDataFrame([(1, "@m/core"), (2, None)], "request_id long, name string")
+    got = flow.mark_families(found, packages, asked, spark.createDataFrame([("@m/core", "@m/core-web")], "name string, related string"))
+    assert "hashpartitioning(request_id" not in _plan(got) and "SortMergeJoin [request_id" not in _plan(got)
+    assert {(r["request_id"], r["object_id"]) for r in got.where("family_related").collect()} == {(1, 0), (1, 2)}
+
+
+def test_causes_and_paths_are_looked_for_where_their_marks_are(spark):
+    texts = [
+        "Refuſed to load", "eKcausing ENOſPC", "unable to get local ıssuer", "DİSK full", "bad credentİals", "no space left on it", "peer dep was a conflict", "conflicting peer deps",
+        "redis had an error", 'relation "x" does not exist', "script-src", "csp will block", "yaml parse error", "nothing at all", "", "see src/a/b.py:3:4 and '\\\\x\\\\y\\\\z.ts'", "a/b.pyc a.py/ /q/w.js", "No.ts/but",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = [F.when(F.col("t").rlike("(?iU)(?:" + "|".join(f"(?:{p})" for p in ps) + ")"), F.lit(n)) for n, ps in V.CAUSES.items()]
+    rows = df.select("t", fn.causes(F.col("t")).alias("got"), F.array_sort(F.array_compact(F.array(*plain))).alias("want"), fn.source_paths(F.col("t")).alias("paths")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows] and sum(bool(r["want"]) for r in rows) >= 10
+    assert [p for r in rows for p in r["paths"]] == ["src/a/b.py", r"\\x\\y\\z.ts", "/q/w.js"]
+    assert all(fn.marks(p) for ps in V.CAUSES.values() for p in ps) and fn.marks(r"a|b\d") == ["a", "b"] and fn.marks(r"(?:ab)?\d+|x") == []
+    assert "Contains" in df.select(fn.causes(F.col("t")))._jdf.queryExecution().executedPlan().toString() or "contains" in _plan(df.select(fn.causes(F.col("t")))).lower()
+
+
+def test_words_are_trimmed_without_patterns(spark):
+    df = spark.createDataFrame([("..a.b-c-- __X__ foo.bar/baz@-qux- x- $y. -- plain-word_",)], "t string")
+    want = ["$y", "__x__", "a.b-c", "b-c", "bar", "baz", "foo", "foo.bar", "plain-word", "qux", "x"]
+    assert df.select(fn.tokenize(F.col("t")).alias("w")).first()["w"] == want
+    assert "regexp_replace" not in _plan(df.select(fn.tokenize(F.col("t"))))
+
+
+def test_only_the_classes_asked_for_are_mined(spark):
+    df = spark.createDataFrame([(1, "The Loader lost ENOSPC in the web.")], "doc_id long, text string")
+    every = {(r["kind"], r["value"]) for r in signatures.mine(df).collect()}
+    some = signatures.mine(df, kinds=("component",))
+    assert {(r["kind"], r["value"]) for r in some.collect()} == {x for x in every if x[0] == "component"} == {("component", "loader"), ("component", "web")}
+    assert "ENOSPC" not in _plan(some)
