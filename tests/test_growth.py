@@ -122,3 +122,7 @@ def test_only_the_classes_asked_for_are_mined(spark):
     some = signatures.mine(df, kinds=("component",))
     assert {(r["kind"], r["value"]) for r in some.collect()} == {x for x in every if x[0] == "component"} == {("component", "loader"), ("component", "web")}
     assert "ENOSPC" not in _plan(some)
+
+
+def test_diagnosis_reads_each_text_once(spark, sf):
+    assert "MapInPandas" not in _plan(engine.QUERIES["diagnosis"](spark, sf))
