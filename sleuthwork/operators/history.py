@@ -16,18 +16,25 @@ TAIL3, TAIL2, BASENAME, PER_TOKEN, MIN_CHANGE_SCORE, MAX_FILES = 4.0, 2.0, 0.5,
 FIX_SUBJECT = r"(?i)\b(fix(e[sd])?|bug|resolve[sd]?|repair|correct|prevent|avoid|handle|guard)\b"
 
 
-#: Levels that are taken at one stride before it doubles, the longest stride, and the most pairs an edge that a
-#: stride's table may have for it to double again.
-LEVELS, MAX_STRIDE, SPREAD = 4, 64, 256
+#: Levels that are taken one by one, levels at one stride before it doubles, the longest stride, and the most pairs
+#: an edge that a stride's table may have for it to double again.
+PLAIN, LEVELS, MAX_STRIDE, SPREAD = 32, 4, 64, 256
+#: Turns that a frontier may go up without being compared with earlier ones.
+UNCOMPARED = 8
 
 
 def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, sha``: every commit reachable from a start by parents, itself included.
 
-    A frontier goes up by strides until it brings no new (start, sha). A stride has two tables of (sha, parent):
-    what is exactly so many edges up, the next frontier, and what is within. It doubles as long as the
-    history goes on, by joining the tables with themselves, so ten thousand levels take some two hundred
-    turns. Only frontiers are compared with earlier ones: of a pair that was one before, all ancestors are met.
+    Starts go up in blocks of 64 that follow each other in their order: a row (block, sha) has a bit for each
+    start that is at the commit in this turn, and pairs are made of bits in the returned plan only, where nothing
+    moves. So starts that reach a commit over as many edges share its row; others have a row each until the end.
+
+    A frontier goes up until it brings no new bit. It is compared with all earlier ones when half as many rows
+    as those have come since the last time, or after UNCOMPARED turns: a bit that was in one before has all its
+    ancestors met. After PLAIN levels it goes up by strides. A stride has two tables of (sha, parent): what is
+    exactly so many edges up, the next frontier, and what is within. It doubles as long as the history goes on,
+    by joining the tables with themselves, so ten thousand levels take some two hundred turns.
     """
     spark = commits.sparkSession
     root = f"{shared(spark)}/sleuthwork/ancestors-{uuid.uuid4().hex}"
@@ -39,25 +46,41 @@ def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
     def above(low: DataFrame, high: DataFrame) -> DataFrame:
         return low.withColumnRenamed("parent", "_mid").join(high.select(F.col("sha").alias("_mid"), "parent"), "_mid").select("sha", "parent")
 
+    def merged(df: DataFrame, mask: str = "_mask") -> DataFrame:
+        return df.groupBy("_block", "sha").agg(F.bit_or("_mask").alias(mask))
+
+    # A partition's numbers begin at a multiple of 2^33, so no block is in two.
+    numbered = starts.select("start").distinct().repartitionByRange("start").sortWithinPartitions("start").withColumn("_n", F.monotonically_increasing_id())
+    numbered = written(numbered, "starts").withColumn("_block", F.shiftright("_n", 6))
     exact = within = written(commits.select("sha", F.explode("parents").alias("parent")).where("sha IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
     most, stride = SPREAD * exact.count(), 1
-    first = starts.select("start", F.col("start").alias("sha")).distinct()
-    frontier, found, seen = written(first, "frontier-0"), [], [f"{root}/frontier-0"]
-    while not frontier.isEmpty():
+    frontier = written(numbered.select("_block", F.col("start").alias("sha"), F.expr("shiftleft(1L, CAST(_n & 63 AS INT))").alias("_mask")), "frontier-0")
+    schema, found, seen, last = frontier.schema, [], [f"{root}/frontier-0"], 0
+    compared = since = 0
+    while (now := frontier.agg(F.count("*").alias("rows"), F.min("sha").alias("low"), F.max("sha").alias("high")).first())["rows"]:
         n = len(seen)
-        if n % LEVELS == 0 and stride < MAX_STRIDE and within.count() <= most:
+        since += now["rows"]
+        if n >= PLAIN and n % LEVELS == 0 and stride < MAX_STRIDE and within.count() <= most:
             stride *= 2
             within = written(within.unionByName(above(exact, within)).distinct(), f"within-{stride}")
             exact = written(above(exact, exact).distinct(), f"exact-{stride}")
-        up = lambda table: frontier.join(table, "sha").select("start", F.col("parent").alias("sha")).distinct()  # noqa: E731, B023
+        ahead = lambda table: table.where(F.col("sha").between(now["low"], now["high"]))  # noqa: E731, B023
+        up = lambda table: merged(frontier.join(ahead(table), "sha").select("_block", F.col("parent").alias("sha"), "_mask"))  # noqa: E731, B023
         if stride > 1:
             up(within).write.parquet(f"{root}/found-{n}")
             found.append(f"{root}/found-{n}")
-        known = spark.read.schema(first.schema).parquet(*seen)
-        frontier = written(up(exact).join(known, ["start", "sha"], "left_anti"), f"frontier-{n}")
+        reached = up(exact)
+        if 2 * since >= compared or n - last >= UNCOMPARED:
+            known = merged(spark.read.schema(schema).parquet(*seen), "_known")
+            fresh = F.col("_mask").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long"))))
+            reached = reached.join(known, ["_block", "sha"], "left").select("_block", "sha", fresh.alias("_mask")).where("_mask <> 0")
+            compared, since, last = compared + since, 0, n
+        frontier = written(reached, f"frontier-{n}")
         seen.append(f"{root}/frontier-{n}")
-    every = spark.read.schema(first.schema).parquet(*seen, *found)
-    return every.distinct() if found else every
+    every = merged(spark.read.schema(schema).parquet(*seen, *found).repartition("_block"))
+    names = numbered.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_n", "start"))).getField("start").alias("_starts"))
+    pairs = every.join(names, "_block").select("sha", "_mask", F.posexplode("_starts").alias("_bit", "start"))
+    return pairs.where("shiftright(_mask, _bit) & 1 = 1").select("start", "sha")
 
 
 def containment(commits: DataFrame, tags: DataFrame, wanted: DataFrame) -> DataFrame:

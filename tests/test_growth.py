@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sleuthwork.functions import fixed as V
 from sleuthwork.functions import text as fn
-from sleuthwork.operators import content, flow, identity, retrieval, signatures, tables
+from sleuthwork.operators import content, flow, history, identity, retrieval, signatures, tables
 from sleuthwork.plans import queries as engine
 from tests.oracle import same
 
@@ -126,3 +126,41 @@ def test_only_the_classes_asked_for_are_mined(spark):
 
 def test_diagnosis_reads_each_text_once(spark, sf):
     assert "MapInPandas" not in _plan(engine.QUERIES["diagnosis"](spark, sf))
+
+
+def _reach(parents, starts):
+    want = set()
+    for start in starts:
+        todo, met = [start], {start}
+        while todo:
+            up = set(parents.get(todo.pop(), ())) - met
+            todo += up
+            met |= up
+        want |= {(start, k) for k in met}
+    return want
+
+
+def _ancestors(spark, parents, starts):
+    commits = spark.createDataFrame(pd.DataFrame({"sha": list(parents), "parents": list(parents.values())}), "sha long, parents array<long>")
+    return [tuple(r) for r in history.ancestors(commits, spark.createDataFrame([(s,) for s in starts], "start long")).collect()]
+
+
+def test_starts_that_go_up_together_share_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "shared", lambda spark: f"file://{tmp_path}")
+    parents = {k: [p for p in (k // 2, k // 3) if p > 0] for k in range(1024)}
+    got = _ancestors(spark, parents, parents)
+    assert len(got) == len(set(got)) and set(got) == _reach(parents, parents)
+    written = sum(spark.read.parquet(str(p)).count() for kind in ("frontier", "found") for p in tmp_path.glob(f"sleuthwork/ancestors-*/{kind}-*"))
+    assert 3 * written < len(got)
+
+
+def test_ancestors_of_many_starts_by_any_strides(spark, monkeypatch):
+    # Branches of unequal length, a circle, starts that are no commits, twice there or null.
+    parents = {k: [k - 1] if k % 5 else [k - 1, k - 7] for k in range(1, 90)} | {0: [], 200: [201], 201: [202], 202: [200, 3], 300: None}
+    starts = [*parents, *range(50), 999]
+    want = _reach({k: v or [] for k, v in parents.items()}, starts) | {(None, None)}
+    for plain, levels, uncompared in ((32, 4, 8), (1, 1, 3), (3, 2, 1)):
+        for name, value in (("PLAIN", plain), ("LEVELS", levels), ("UNCOMPARED", uncompared)):
+            monkeypatch.setattr(history, name, value)
+        got = _ancestors(spark, parents, [*starts, None])
+        assert len(got) == len(set(got)) and set(got) == want
