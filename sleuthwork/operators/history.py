@@ -32,7 +32,8 @@ def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
 
     A frontier goes up until it brings no new bit. It is compared with all earlier ones when half as many rows
     as those have come since the last time, or after UNCOMPARED turns: a bit that was in one before has all its
-    ancestors met. After PLAIN levels it goes up by strides. A stride has two tables of (sha, parent): what is
+    ancestors met. Edges and earlier rows outside of the frontier's least and greatest sha, or its parents', stay
+    where they are, which spares most of them where parents have smaller ids. After PLAIN levels it goes up by strides. A stride has two tables of (sha, parent): what is
     exactly so many edges up, the next frontier, and what is within. It doubles as long as the history goes on,
     by joining the tables with themselves, so ten thousand levels take some two hundred turns.
     """
@@ -71,7 +72,8 @@ def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
             found.append(f"{root}/found-{n}")
         reached = up(exact)
         if 2 * since >= compared or n - last >= UNCOMPARED:
-            known = merged(spark.read.schema(schema).parquet(*seen), "_known")
+            to = ahead(exact).agg(F.min("parent").alias("low"), F.max("parent").alias("high")).first()
+            known = merged(spark.read.schema(schema).parquet(*seen).where(F.col("sha").between(to["low"], to["high"])), "_known")
             fresh = F.col("_mask").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long"))))
             reached = reached.join(known, ["_block", "sha"], "left").select("_block", "sha", fresh.alias("_mask")).where("_mask <> 0")
             compared, since, last = compared + since, 0, n
